@@ -141,7 +141,7 @@ def pack(items: DataFrame, configs: DataFrame, group_items: int = GROUP_ITEMS) -
     if not loops:
         return rows.sparkSession.createDataFrame([], "config_name string, batch_index long, container_index long, cache_row_id long, piece int, start long, length long")
     dealt = rows.withColumn("grp", F.pmod(F.xxhash64("cache_row_id"), F.lit(groups)).cast("int"))
-    packed = cut(dealt.groupBy("grp").applyInPandas(fill, schema))
+    packed = cut(dealt.repartition(groups, "grp").groupBy("grp").applyInPandas(fill, schema))
     counts = packed.groupBy("config_name", "grp").agg(F.max("bins").alias("bins"))
     earlier = Window.partitionBy("config_name").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("config_name", "grp", F.coalesce(F.sum("bins").over(earlier), F.lit(0)).alias("shift"))
