@@ -21,21 +21,21 @@ from skein.operators.running import running_total
 from skein.session import cut
 
 SLOTS = 10_000
-_ENCODINGS: dict[str, object] = {}
 
 
 def encoder(path: str):
     """The byte-level BPE whose ranks the file at ``path`` lists; once per process."""
-    if path not in _ENCODINGS:
-        import base64
+    import base64
 
-        import tiktoken
+    import tiktoken
 
+    held = vars(tiktoken).setdefault("_skein_encodings", {})  # outlives this task's copy of the code
+    if path not in held:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        _ENCODINGS[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[path]
+        held[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return held[path]
 
 
 def token_counts(df: DataFrame, vocabulary: str) -> DataFrame:
