@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.plans import nested_queries
+from skein.plans import core_queries, nested_queries, stream_queries
 
-_MODULES = [nested_queries]
+_MODULES = [nested_queries, core_queries, stream_queries]
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
