@@ -21,6 +21,10 @@ from skein.session import cut
 
 #: A tail is whole if at least this share of the corpus' copies stop there too.
 STOPS = 0.1
+#: A tail that only ever ends documents is whole if they are at least this share of what goes on from one token before.
+RARE = 0.05
+#: A last part of an identifier is cut if at most this share of the longer parts' copies is whole.
+WHOLE = 0.02
 #: So many copies have to go on for a deviation in the last tokens to count.
 SUPPORT = 3
 HELD = 200_000
@@ -34,6 +38,7 @@ _TERMINAL = re.compile(r"[.!?。！？][\"'”’)*`]*$")
 _ELLIPSIS = re.compile(r"(?:\s*(?:…|\.{3,}))+$")
 _DEBRIS = re.compile(r"(?:�|\\u[0-9a-fA-F]{0,3}|(?<!\\)\\|&(?:#\w{0,5}|[a-zA-Z]{1,6}))$")
 _NOTICE = re.compile(r"\s*[\[(<{]+\s*(?:\.\.\.|…)?\s*(?:output |text |content |message |log )?(?:truncated|cut(?: off)?|clipped|snipped|snip|omitted|\+?\d+ (?:more )?(?:chars?|characters|bytes|words|tokens|lines)\b[^\])>}]*)[^\])>}\n]{0,40}[\])>}]+$", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]+")
 _EXTENSION = re.compile(r"\.([a-z]{1,4})$")
 _MASK = (1 << 63) - 1
 
@@ -57,6 +62,8 @@ class Shapes:
         self.digest = lambda s: xxhash.xxh64_intdigest(s) & _MASK
         self.common, self.known = known_words(vocabulary)
         self.seen: dict[str, int] = {}
+        #: Parts of identifiers, by how many identifiers have them whole.
+        self.parts: dict[str, int] = {}
 
     def number(self, token: str) -> int:
         found = self.seen.get(token)
@@ -64,6 +71,9 @@ class Shapes:
             if len(self.seen) > HELD:
                 self.seen.clear()
             found = self.seen[token] = self.digest(self.shape(token))
+            if not token.isalpha():
+                for part in _PART.findall(token):
+                    self.parts[part] = self.parts.get(part, 0) + 1
         return found
 
     def shape(self, token: str) -> str:
@@ -108,8 +118,8 @@ class Scan:
     def __init__(self, vocabulary: str):
         self.shapes, self.segments = Shapes(vocabulary), {}
 
-    def read(self, text: str) -> tuple[list[int], bool, bool, bool]:
-        """Count the text's segments; give the prefix hashes of its tail (longest first), and what is plain to see: sound end, debris, open block."""
+    def read(self, text: str) -> tuple[list[int], bool, bool, bool, int | None]:
+        """Count the text's segments; give the prefix hashes of its tail (longest first), what is plain to see (sound end, debris, open block), and the hash of the identifier part it ends with."""
         body, dots, debris = strip_marks(text)
         number, segments, tail, context, tokens = self.shapes.number, self.segments, (), (), []
         before = number("^")
@@ -142,7 +152,12 @@ class Scan:
         open_block = body.count("```") % 2 == 1 or body.rfind("<tool_call>") > body.rfind("</tool_call>")
         # a full stop after a path may be the one before its extension
         path = len(tokens) > 1 and tokens[-1] == "." and "/" in tokens[-2] and not _EXTENSION.search(tokens[-2])
-        return hashes[::-1][:4], bool(_TERMINAL.search(body)) and not dots and not path, debris, open_block
+        return hashes[::-1][:4], bool(_TERMINAL.search(body)) and not dots and not path, debris, open_block, self._last_part(tokens)
+
+    def _last_part(self, tokens: list[str]) -> int | None:
+        if not tokens or tokens[-1].isalpha() or not tokens[-1][-1].isalpha():
+            return None
+        return self.shapes.digest("part:" + _PART.findall(tokens[-1])[-1]) if _PART.search(tokens[-1]) else None
 
     def drain(self) -> tuple[list[int], list[int], list[int]]:
         """The prefixes of the segments so far: hash, on (longer copies), stop (copies that end there)."""
@@ -155,12 +170,18 @@ class Scan:
                 on[h] = on.get(h, 0) + n
             h = (h * 0x9E3779B97F4A7C15 + segment[-1] + 1) & _MASK
             stop[h] = stop.get(h, 0) + n
-        self.segments = {}
+        for part, n in self.shapes.parts.items():
+            h = self.shapes.digest("part:" + part)
+            stop[h] = stop.get(h, 0) + n
+            for i in range(1, len(part)):
+                h = self.shapes.digest("part:" + part[:i])
+                on[h] = on.get(h, 0) + n
+        self.segments, self.shapes.parts = {}, {}
         keys = list(on.keys() | stop.keys())
         return keys, [on.get(k, 0) for k in keys], [stop.get(k, 0) for k in keys]
 
 
-_SCHEMA = "doc_id long, source string, digest long, tail array<long>, sound boolean, debris boolean, open boolean, hash long, goes_on long, stops long"
+_SCHEMA = "doc_id long, source string, digest long, tail array<long>, sound boolean, debris boolean, open boolean, part long, hash long, goes_on long, stops long"
 
 
 def _scan(df: DataFrame, vocabulary: str) -> DataFrame:
@@ -170,9 +191,9 @@ def _scan(df: DataFrame, vocabulary: str) -> DataFrame:
         scan = Scan(vocabulary)
         for batch in batches:
             read = [scan.read(t) for t in batch.column("text").to_pylist()]
-            tail, sound, debris, open_block = zip(*read) if read else ((), (), (), ())
+            tail, sound, debris, open_block, part = zip(*read) if read else ((),) * 5
             own = [batch.column(c) for c in ("doc_id", "source", "digest")]
-            yield _batch([*own, pa.array(tail, pa.list_(pa.int64())), *(pa.array(x, pa.bool_()) for x in (sound, debris, open_block)), *[None] * 3], batch.num_rows)
+            yield _batch([*own, pa.array(tail, pa.list_(pa.int64())), *(pa.array(x, pa.bool_()) for x in (sound, debris, open_block)), pa.array(part, pa.int64()), *[None] * 3], batch.num_rows)
             if len(scan.segments) > HELD:
                 yield _prefixes(scan)
         yield _prefixes(scan)
@@ -181,7 +202,7 @@ def _scan(df: DataFrame, vocabulary: str) -> DataFrame:
     return texts.mapInArrow(run, _SCHEMA)
 
 
-_ARROW = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("digest", pa.int64()), ("tail", pa.list_(pa.int64())), ("sound", pa.bool_()), ("debris", pa.bool_()), ("open", pa.bool_()), ("hash", pa.int64()), ("goes_on", pa.int64()), ("stops", pa.int64())])
+_ARROW = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("digest", pa.int64()), ("tail", pa.list_(pa.int64())), ("sound", pa.bool_()), ("debris", pa.bool_()), ("open", pa.bool_()), ("part", pa.int64()), ("hash", pa.int64()), ("goes_on", pa.int64()), ("stops", pa.int64())])
 
 
 def _batch(columns: list, n: int) -> pa.RecordBatch:
@@ -191,7 +212,7 @@ def _batch(columns: list, n: int) -> pa.RecordBatch:
 
 def _prefixes(scan: Scan) -> pa.RecordBatch:
     keys, on, stop = scan.drain()
-    return _batch([*[None] * 7, *(pa.array(x, pa.int64()) for x in (keys, on, stop))], len(keys))
+    return _batch([*[None] * 8, *(pa.array(x, pa.int64()) for x in (keys, on, stop))], len(keys))
 
 
 def tails(df: DataFrame, vocabulary: str) -> DataFrame:
@@ -199,33 +220,38 @@ def tails(df: DataFrame, vocabulary: str) -> DataFrame:
 
     ``stops`` and ``goes_on`` say how often other texts stop, or carry on, after
     exactly this tail; ``known`` how many of the last tokens have to be left off
-    to find longer copies at all (null if more than three).
+    to find longer copies at all (null if more than three); ``cut_part`` that it
+    ends in an identifier whose last part is hardly ever whole but often longer.
     """
     scanned = cut(_scan(df, vocabulary))
-    docs = scanned.where("hash IS NULL").select("doc_id", "source", "digest", "tail", "sound", "debris", "open")
+    docs = scanned.where("hash IS NULL").select("doc_id", "source", "digest", "tail", "sound", "debris", "open", "part")
     ends = docs.select("digest", F.col("tail")[0].alias("hash")).distinct().groupBy("hash").agg(F.lit(0).cast("long").alias("goes_on"), F.lit(0).cast("long").alias("stops"), F.count("*").alias("ends"))
     own = scanned.where("hash IS NOT NULL").select("hash", "goes_on", "stops", F.lit(0).cast("long").alias("ends"))
     # an end carries on after its own shorter prefixes, as every sentence does
     prefixes = own.unionByName(ends).groupBy("hash").agg(F.sum("goes_on").alias("goes_on"), F.sum("stops").alias("stops"), F.sum("ends").alias("ends"))
-    looked = docs.select("doc_id", "digest", F.posexplode("tail").alias("off", "hash")).join(prefixes, "hash", "left")
+    # offset -1 looks up the part of an identifier that the tail ends with
+    wanted = docs.select("doc_id", F.posexplode("tail").alias("off", "hash")).union(docs.where("part IS NOT NULL").select("doc_id", F.lit(-1), "part"))
+    looked = wanted.join(prefixes, "hash", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     at = lambda k, c: F.max(F.when(F.col("off") == k, zero(c)))
     seen = looked.groupBy("doc_id").agg(
         at(0, "goes_on").alias("goes_on"),
         (at(0, "stops") + F.greatest(at(0, "ends") - 1, F.lit(0))).alias("stops"),
-        F.min(F.when(zero("goes_on") >= F.lit(SUPPORT), F.col("off"))).alias("known"),
+        ((at(0, "stops") == 0) & (at(0, "ends") - 1 < RARE * F.coalesce(at(1, "goes_on"), F.lit(0)))).alias("only_ends"),
+        F.min(F.when((F.col("off") >= 0) & (zero("goes_on") >= F.lit(SUPPORT)), F.col("off"))).alias("known"),
+        F.coalesce((at(-1, "goes_on") >= SUPPORT) & (at(-1, "stops") <= WHOLE * (at(-1, "stops") + at(-1, "goes_on"))), F.lit(False)).alias("cut_part"),
     )
-    joined = docs.drop("tail", "digest").join(seen, "doc_id")
+    joined = docs.drop("tail", "digest", "part").join(seen, "doc_id")
     return joined.withColumn("truncated", _judge())
 
 
 def _judge() -> Column:
     stops, on = F.col("stops"), F.col("goes_on")
     settled = stops + on > 0
-    whole = stops >= STOPS * (stops + on)
+    whole = (stops >= STOPS * (stops + on)) & ~F.col("only_ends")
     off = F.greatest(F.coalesce("known", F.lit(9)), F.lit(1))
     unsettled = off <= F.when(F.col("sound"), 1).otherwise(2)
-    return F.col("debris") | F.col("open") | F.when(settled, ~whole).otherwise(unsettled)
+    return F.col("debris") | F.col("open") | F.col("cut_part") | F.when(settled, ~whole).otherwise(unsettled)
 
 
 def truncated(df: DataFrame, vocabulary: str) -> DataFrame:
