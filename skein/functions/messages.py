@@ -59,9 +59,11 @@ def compacted(parts: list[tuple[str, Column, int]], budget: int) -> Column:
     @F.pandas_udf("text string, truncated boolean")
     def cut(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)
             out = []
             for texts in zip(*columns):
-                words = [(t or "").split() for t in texts]
+                texts = [t if isinstance(t, str) else "" for t in texts]
+                words = [t.split() for t in texts]
                 over = sum(map(len, words)) - budget
                 cut_any = over > 0
                 for k, floor in enumerate(least):
@@ -71,7 +73,7 @@ def compacted(parts: list[tuple[str, Column, int]], budget: int) -> Column:
                     over -= len(words[k]) - keep
                     words[k] = words[k][:keep]
                 flat = [w for ws in words for w in ws][:budget]
-                out.append((" ".join(flat) if cut_any else "\n\n".join(t for t in texts if t and t.strip()), cut_any))
+                out.append((" ".join(flat) if cut_any else "\n\n".join(t for t in texts if t.strip()), cut_any))
             yield pd.DataFrame(out, columns=["text", "truncated"])
 
     return cut(*(c for _, c, _ in parts))
@@ -94,7 +96,7 @@ def response_payload(tool_output: Column, head: int = 368, tail: int = 368) -> C
             out = []
             for t in texts:
                 try:
-                    value = json.loads(t) if t else {}
+                    value = json.loads(t) if isinstance(t, str) and t else {}
                 except ValueError:
                     value = {"stdout": t}
                 value = value if isinstance(value, dict) else {"stdout": value}

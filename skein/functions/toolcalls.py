@@ -193,7 +193,7 @@ def turn_column(text: Column, most: int = 1, mode: str = "auto") -> Column:
             rows = []
             for t in texts:
                 try:
-                    thinking, calls = parse_turn(t or "", most, mode)
+                    thinking, calls = parse_turn(t if isinstance(t, str) else "", most, mode)
                     bad = [e for c in calls for e in validation_errors(c)]
                     rows.append((thinking, [c["tool"] for c in calls], [json.dumps(c, sort_keys=True) for c in calls], "; ".join(bad) or None))
                 except TurnError as e:
