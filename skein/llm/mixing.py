@@ -123,8 +123,9 @@ def mix(df: DataFrame, targets: DataFrame, vocabulary: str, slots: int = SLOTS)
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source the tokens and share reached and the most uses of a record."""
     per = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("records"), (F.max("use") + 1).alias("most_uses"))
-    total = per.agg(F.sum("tokens").alias("total"))
-    both = targets.join(per, "source", "left").crossJoin(F.broadcast(total))
+    per = cut(per)
+    total = per.agg(F.sum("tokens")).first()[0] or 1
+    both = targets.join(per, "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    share = F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0))
+    share = F.coalesce(F.col("tokens") / total, F.lit(0.0))
     return both.select("source", "target_share", "max_repeats", zero("tokens").alias("tokens"), zero("records").alias("records"), zero("most_uses").alias("most_uses"), share.alias("actual_share"))

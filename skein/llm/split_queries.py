@@ -25,8 +25,8 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares that the assignment reaches."""
     got = p4_assigned(spark, sf_dir).groupBy("split_name").agg(F.count("*").alias("n_rows"), F.count_distinct("group_row_id").alias("n_groups"))
     targets = table(spark, sf_dir, "split_targets").join(got, "split_name", "left").fillna(0, ["n_rows", "n_groups"])
-    total = got.agg(F.sum("n_rows").alias("total"))
-    return targets.crossJoin(F.broadcast(total)).select("split_name", "target_share", "n_rows", "n_groups", (F.col("n_rows") / F.col("total")).alias("actual_share"))
+    total = table(spark, sf_dir, "task_rows").count()
+    return targets.select("split_name", "target_share", "n_rows", "n_groups", (F.col("n_rows") / max(total, 1)).alias("actual_share"))
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p4_assigned, p4_shares)}

@@ -140,11 +140,10 @@ def assign_splits(df: DataFrame, targets: DataFrame) -> DataFrame:
     laid = running_total(weights.withColumn("spot", F.xxhash64("group_row_id")), [F.desc("weight"), "spot", "group_row_id"], "weight", "before")
     shares = sorted(((r.target_share, r.split_name) for r in targets.where("target_share > 0").collect()), reverse=True)
     whole, upto, name = sum(s for s, _ in shares) or 1.0, 0.0, F.when(F.lit(False), "")
-    middle = (F.col("before") + F.col("weight") / 2) / F.greatest(F.col("n"), F.lit(1))
+    middle = (F.col("before") + F.col("weight") / 2) / max(groups.count(), 1)
     for share, split in shares[:-1]:
         upto += share / whole
         name = name.when(middle < upto, split)
     name = name.otherwise(shares[-1][1] if shares else None)
-    total = groups.agg(F.count("*").alias("n"))
-    chosen = laid.crossJoin(F.broadcast(total)).select("group_row_id", name.alias("split_name"))
+    chosen = laid.select("group_row_id", name.alias("split_name"))
     return groups.join(chosen, "group_row_id").select("task_row_id", "group_row_id", "split_name")
