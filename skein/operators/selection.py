@@ -132,10 +132,10 @@ def weighted_means(df: DataFrame, key: str, value: str, weight: str) -> DataFram
 
 def entropy_histogram(df: DataFrame, value: str) -> DataFrame:
     """Mean, maximum, four buckets and the share above the exact 0.8 quantile."""
-    q = df.agg(F.percentile(value, F.lit(0.8)).alias("threshold"))
-    v = F.col(value)
-    return df.crossJoin(F.broadcast(q)).where(v.isNotNull()).agg(
-        F.avg(v).alias("mean"), F.max(v).alias("most"), F.count_if(v < 1).alias("below_1"), F.count_if((v >= 1) & (v < 2)).alias("from_1"), F.count_if((v >= 2) & (v < 4)).alias("from_2"), F.count_if(v >= 4).alias("from_4"), F.avg((v > F.col("threshold")).cast("double")).alias("high_share"), F.first("threshold").alias("threshold")
+    threshold = df.agg(F.percentile(value, F.lit(0.8))).first()[0]
+    v, top = F.col(value), F.lit(threshold).cast("double")
+    return df.where(v.isNotNull()).agg(
+        F.avg(v).alias("mean"), F.max(v).alias("most"), F.count_if(v < 1).alias("below_1"), F.count_if((v >= 1) & (v < 2)).alias("from_1"), F.count_if((v >= 2) & (v < 4)).alias("from_2"), F.count_if(v >= 4).alias("from_4"), F.avg((v > top).cast("double")).alias("high_share"), F.max(top).alias("threshold")
     )
 
 
