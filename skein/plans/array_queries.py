@@ -65,13 +65,13 @@ def pj20_clipped_response(spark, sf_dir):
 _LISTS = """lists AS (SELECT o_custkey, list_distinct(list(o_orderstatus)) AS w, list_distinct(list(o_orderstatus) FILTER (o_totalprice > 200000)) AS p, list_distinct(list(o_orderstatus) FILTER (o_totalprice < 20000)) AS f FROM orders GROUP BY 1)"""
 
 
-@query(f"""WITH {_LISTS} SELECT o_custkey, CASE WHEN coalesce(len(p), 0) = 0 AND coalesce(len(f), 0) = 0 THEN NULL WHEN list_has_any(w, coalesce(f, [])) THEN false ELSE list_has_all(coalesce(p, []), w) END AS verdict,
+@query(f"""WITH {_LISTS} SELECT o_custkey, CAST(CASE WHEN coalesce(len(p), 0) = 0 AND coalesce(len(f), 0) = 0 THEN NULL WHEN list_has_any(w, coalesce(f, [])) THEN false ELSE list_has_all(coalesce(p, []), w) END AS VARCHAR) AS verdict,
   array_to_string(list_sort(list_filter(w, lambda x: NOT list_contains(coalesce(p, []), x))), ',') AS missing FROM lists""")
 def jn10_group_verdict(spark, sf_dir):
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
         F.sort_array(F.collect_set("o_orderstatus")).alias("w"), F.collect_set(F.when(F.col("o_totalprice") > 200000, F.col("o_orderstatus"))).alias("p"), F.collect_set(F.when(F.col("o_totalprice") < 20000, F.col("o_orderstatus"))).alias("f")
     )
-    return o.select("o_custkey", A.group_verdict(F.col("w"), F.col("p"), F.col("f")).alias("verdict"), F.array_join(A.missing_selectors(F.col("w"), F.col("p")), ",").alias("missing"))
+    return o.select("o_custkey", A.group_verdict(F.col("w"), F.col("p"), F.col("f")).cast("string").alias("verdict"), F.array_join(A.missing_selectors(F.col("w"), F.col("p")), ",").alias("missing"))
 
 
 _MESSAGES = """SELECT task_id, attempt_index, list(CASE WHEN tool_output IS NOT NULL THEN 'user' WHEN assistant_response IS NOT NULL THEN 'assistant' ELSE 'user' END ORDER BY message_id) AS roles,

@@ -209,11 +209,11 @@ def sf26_task_names(spark, sf_dir):
 
 
 @query("""SELECT rollout_row_id, CASE lower(trim(CAST(exit_code AS VARCHAR))) WHEN '1' THEN true WHEN '0' THEN false ELSE coalesce(resolved, false) END AS flag,
-  CASE WHEN lower(trim(verifier_status)) IN ('1','true','t','yes','y','on','pass','passed','success','resolved') THEN true WHEN lower(trim(verifier_status)) IN ('0','false','f','no','n','off','fail','failed','error','unresolved') THEN false END AS verdict,
+  CAST(CASE WHEN lower(trim(verifier_status)) IN ('1','true','t','yes','y','on','pass','passed','success','resolved') THEN true WHEN lower(trim(verifier_status)) IN ('0','false','f','no','n','off','fail','failed','error','unresolved') THEN false END AS VARCHAR) AS verdict,
   coalesce(CASE WHEN regexp_matches(trim(CAST(latency_ms AS VARCHAR)), '^[+-]?\\d{1,18}(\\.0*)?$') THEN CAST(latency_ms AS BIGINT) END, -1) AS whole, coalesce(task_id, '?') || '#attempt-' || coalesce(attempt_index, -1) AS group_id FROM rollout_rows""")
 def sf01_coercions(spark, sf_dir):
     r = table(spark, sf_dir, "rollout_rows")
-    return r.select("rollout_row_id", C.coerce_bool(F.col("exit_code"), F.coalesce("resolved", F.lit(False))).alias("flag"), C.optional_verdict(F.col("verifier_status")).alias("verdict"), C.coerce_int(F.col("latency_ms"), F.lit(-1).cast("bigint")).alias("whole"), C.group_id(F.coalesce("task_id", F.lit("?")), F.coalesce("attempt_index", F.lit(-1))).alias("group_id"))
+    return r.select("rollout_row_id", C.coerce_bool(F.col("exit_code"), F.coalesce("resolved", F.lit(False))).alias("flag"), C.optional_verdict(F.col("verifier_status")).cast("string").alias("verdict"), C.coerce_int(F.col("latency_ms"), F.lit(-1).cast("bigint")).alias("whole"), C.group_id(F.coalesce("task_id", F.lit("?")), F.coalesce("attempt_index", F.lit(-1))).alias("group_id"))
 
 
 _OUT = "json_extract_string(tool_output, '$.stdout')"
@@ -319,7 +319,7 @@ def _numbered(df: DataFrame, order: str, name: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders)
-SELECT id, false AS added FROM t UNION ALL SELECT id, true FROM t WHERE place < (4096 - n % 4096) % 4096""")
+SELECT id, false AS added FROM t UNION ALL SELECT id, true FROM range(4096) r JOIN t ON r.range % n = place WHERE r.range < (4096 - n % 4096) % 4096""")
 def sl06_upsample(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     return P.upsample_to_multiple(_numbered(o, "id", "place"), 4096).select("id", "added")
