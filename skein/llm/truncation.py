@@ -62,8 +62,8 @@ class Shapes:
         self.digest = lambda s: xxhash.xxh64_intdigest(s) & _MASK
         self.common, self.known = known_words(vocabulary)
         self.seen: dict[str, int] = {}
-        #: Parts of identifiers, by how many identifiers have them whole.
-        self.parts: dict[str, int] = {}
+        #: Identifiers since the last drain; a task may give one again, so they are made distinct over all tasks.
+        self.names: set[str] = set()
 
     def number(self, token: str) -> int:
         found = self.seen.get(token)
@@ -71,9 +71,8 @@ class Shapes:
             if len(self.seen) > HELD:
                 self.seen.clear()
             found = self.seen[token] = self.digest(self.shape(token))
-            if not token.isalpha():
-                for part in _PART.findall(token):
-                    self.parts[part] = self.parts.get(part, 0) + 1
+            if not token.isalpha() and _PART.search(token):
+                self.names.add(token)
         return found
 
     def shape(self, token: str) -> str:
@@ -159,8 +158,8 @@ class Scan:
             return None
         return self.shapes.digest("part:" + _PART.findall(tokens[-1])[-1]) if _PART.search(tokens[-1]) else None
 
-    def drain(self) -> tuple[list[int], list[int], list[int]]:
-        """The prefixes of the segments so far: hash, on (longer copies), stop (copies that end there)."""
+    def drain(self) -> tuple[list[int], list[int], list[int], list[str]]:
+        """The prefixes of the segments so far: hash, on (longer copies), stop (copies that end there); and the identifiers."""
         on: dict[int, int] = {}
         stop: dict[int, int] = {}
         for segment, n in self.segments.items():
@@ -170,18 +169,13 @@ class Scan:
                 on[h] = on.get(h, 0) + n
             h = (h * 0x9E3779B97F4A7C15 + segment[-1] + 1) & _MASK
             stop[h] = stop.get(h, 0) + n
-        for part, n in self.shapes.parts.items():
-            h = self.shapes.digest("part:" + part)
-            stop[h] = stop.get(h, 0) + n
-            for i in range(1, len(part)):
-                h = self.shapes.digest("part:" + part[:i])
-                on[h] = on.get(h, 0) + n
-        self.segments, self.shapes.parts = {}, {}
+        names = list(self.shapes.names)
+        self.segments, self.shapes.names = {}, set()
         keys = list(on.keys() | stop.keys())
-        return keys, [on.get(k, 0) for k in keys], [stop.get(k, 0) for k in keys]
+        return keys, [on.get(k, 0) for k in keys], [stop.get(k, 0) for k in keys], names
 
 
-_SCHEMA = "doc_id long, source string, digest long, tail array<long>, sound boolean, debris boolean, open boolean, part long, hash long, goes_on long, stops long"
+_SCHEMA = "doc_id long, source string, digest long, tail array<long>, sound boolean, debris boolean, open boolean, part long, hash long, goes_on long, stops long, name string"
 
 
 def _scan(df: DataFrame, vocabulary: str) -> DataFrame:
@@ -193,16 +187,16 @@ def _scan(df: DataFrame, vocabulary: str) -> DataFrame:
             read = [scan.read(t) for t in batch.column("text").to_pylist()]
             tail, sound, debris, open_block, part = zip(*read) if read else ((),) * 5
             own = [batch.column(c) for c in ("doc_id", "source", "digest")]
-            yield _batch([*own, pa.array(tail, pa.list_(pa.int64())), *(pa.array(x, pa.bool_()) for x in (sound, debris, open_block)), pa.array(part, pa.int64()), *[None] * 3], batch.num_rows)
-            if len(scan.segments) > HELD:
-                yield _prefixes(scan)
-        yield _prefixes(scan)
+            yield _batch([*own, pa.array(tail, pa.list_(pa.int64())), *(pa.array(x, pa.bool_()) for x in (sound, debris, open_block)), pa.array(part, pa.int64()), *[None] * 4], batch.num_rows)
+            if len(scan.segments) > HELD or len(scan.shapes.names) > HELD:
+                yield from _prefixes(scan)
+        yield from _prefixes(scan)
 
     texts = df.where(F.length(F.trim("text")) > 0).select("doc_id", "source", "text", F.xxhash64("text").alias("digest"))
     return texts.mapInArrow(run, _SCHEMA)
 
 
-_ARROW = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("digest", pa.int64()), ("tail", pa.list_(pa.int64())), ("sound", pa.bool_()), ("debris", pa.bool_()), ("open", pa.bool_()), ("part", pa.int64()), ("hash", pa.int64()), ("goes_on", pa.int64()), ("stops", pa.int64())])
+_ARROW = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("digest", pa.int64()), ("tail", pa.list_(pa.int64())), ("sound", pa.bool_()), ("debris", pa.bool_()), ("open", pa.bool_()), ("part", pa.int64()), ("hash", pa.int64()), ("goes_on", pa.int64()), ("stops", pa.int64()), ("name", pa.string())])
 
 
 def _batch(columns: list, n: int) -> pa.RecordBatch:
@@ -210,9 +204,30 @@ def _batch(columns: list, n: int) -> pa.RecordBatch:
     return pa.record_batch([pa.nulls(n, f.type) if c is None else c.cast(f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
 
-def _prefixes(scan: Scan) -> pa.RecordBatch:
-    keys, on, stop = scan.drain()
-    return _batch([*[None] * 8, *(pa.array(x, pa.int64()) for x in (keys, on, stop))], len(keys))
+def _prefixes(scan: Scan) -> Iterator[pa.RecordBatch]:
+    keys, on, stop, names = scan.drain()
+    yield _batch([*[None] * 8, *(pa.array(x, pa.int64()) for x in (keys, on, stop)), None], len(keys))
+    yield _batch([*[None] * 11, pa.array(names, pa.string())], len(names))
+
+
+def _parts(names: DataFrame) -> DataFrame:
+    """(hash, goes_on, stops) of the parts of distinct identifiers: how many of them have a part longer than this, or just this."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = lambda s: xxhash.xxh64_intdigest("part:" + s) & _MASK
+        for batch in batches:
+            counts: dict[str, list[int]] = {}
+            for name in batch.column(0).to_pylist():
+                for part in _PART.findall(name):
+                    counts.setdefault(part, [0, 0])[1] += 1
+                    for i in range(1, len(part)):
+                        counts.setdefault(part[:i], [0, 0])[0] += 1
+            on, stop = zip(*counts.values()) if counts else ((), ())
+            yield pa.record_batch([pa.array([digest(c) for c in counts], pa.int64()), pa.array(on, pa.int64()), pa.array(stop, pa.int64())], ["hash", "goes_on", "stops"])
+
+    return names.mapInArrow(run, "hash long, goes_on long, stops long")
 
 
 def tails(df: DataFrame, vocabulary: str) -> DataFrame:
@@ -224,9 +239,10 @@ def tails(df: DataFrame, vocabulary: str) -> DataFrame:
     ends in an identifier whose last part is hardly ever whole but often longer.
     """
     scanned = cut(_scan(df, vocabulary))
-    docs = scanned.where("hash IS NULL").select("doc_id", "source", "digest", "tail", "sound", "debris", "open", "part")
+    docs = scanned.where("doc_id IS NOT NULL").select("doc_id", "source", "digest", "tail", "sound", "debris", "open", "part")
     ends = docs.select("digest", F.col("tail")[0].alias("hash")).distinct().groupBy("hash").agg(F.lit(0).cast("long").alias("goes_on"), F.lit(0).cast("long").alias("stops"), F.count("*").alias("ends"))
-    own = scanned.where("hash IS NOT NULL").select("hash", "goes_on", "stops", F.lit(0).cast("long").alias("ends"))
+    parts = _parts(scanned.where("name IS NOT NULL").select("name").distinct())
+    own = scanned.where("hash IS NOT NULL").select("hash", "goes_on", "stops").unionByName(parts).withColumn("ends", F.lit(0).cast("long"))
     # an end carries on after its own shorter prefixes, as every sentence does
     prefixes = own.unionByName(ends).groupBy("hash").agg(F.sum("goes_on").alias("goes_on"), F.sum("stops").alias("stops"), F.sum("ends").alias("ends"))
     # offset -1 looks up the part of an identifier that the tail ends with

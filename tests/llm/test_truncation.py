@@ -58,3 +58,10 @@ def test_copies_nulls_long_and_empty(spark, corpus):
 @pytest.mark.parametrize("text,body,dots,debris", [("so it…", "so it", True, False), ("so it [... 12 more characters]", "so it", False, True), ("so\\u00", "so", False, True), ("a &am", "a", False, True), ("plain.", "plain.", False, False)])
 def test_marks(text, body, dots, debris):
     assert T.strip_marks(text) == (body, dots, debris)
+
+
+def test_identifier_counts_do_not_depend_on_tasks(spark):
+    rows = [(i, "s", f"The call to load_handlers failed for {i} users.", "x") for i in range(60)] + [(60, "s", "The name is now x_hand", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, hash string")
+    one, many = ({r.doc_id for r in T.tails(df.repartitionByRange(n, "doc_id"), VOCABULARY).where("cut_part").collect()} for n in (1, 61))
+    assert one == many == set()
