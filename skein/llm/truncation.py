@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.session import cut
@@ -27,6 +27,10 @@ RARE = 0.05
 WHOLE = 0.02
 #: So many copies have to go on for a deviation in the last tokens to count.
 SUPPORT = 3
+#: A tail without siblings goes on if others do after its last so many tokens.
+CONTEXT = 3
+#: A text of at least so many characters that another one carries on within the line breaks off.
+PREFIX = 40
 HELD = 200_000
 #: Words beyond this rank of the vocabulary are masked, as names are.
 COMMON = 4_000
@@ -41,6 +45,8 @@ _NOTICE = re.compile(r"\s*[\[(<{]+\s*(?:\.\.\.|…)?\s*(?:output |text |content
 _PART = re.compile(r"[A-Z]?[a-z]+")
 _EXTENSION = re.compile(r"\.([a-z]{1,4})$")
 _MASK = (1 << 63) - 1
+#: Makes blanks and line breaks sort behind all that may follow within a word.
+_LAST = {ord(" "): "\U0010fffc", ord("\n"): "\U0010fffd"}
 
 
 def known_words(path: str) -> tuple[frozenset[bytes], frozenset[bytes]]:
@@ -62,7 +68,7 @@ class Shapes:
         self.digest = lambda s: xxhash.xxh64_intdigest(s) & _MASK
         self.common, self.known = known_words(vocabulary)
         self.seen: dict[str, int] = {}
-        #: Identifiers since the last drain; a task may give one again, so they are made distinct over all tasks.
+        #: Words and identifiers since the last drain; a task may give one again, so they are made distinct over all tasks.
         self.names: set[str] = set()
 
     def number(self, token: str) -> int:
@@ -71,10 +77,16 @@ class Shapes:
             if len(self.seen) > HELD:
                 self.seen.clear()
             found = self.seen[token] = self.digest(self.shape(token))
-            if not token.isalpha() and _PART.search(token):
+            if token.isalpha():
+                self.names.add(token.lower())
+            elif _PART.search(token):
                 self.names.add(token)
         return found
 
+    def quiet(self, token: str) -> int:
+        """The number of a text's last token, which may be a fragment and so is no evidence of a word."""
+        return self.seen.get(token) or self.digest(self.shape(token))
+
     def shape(self, token: str) -> str:
         if len(token) == 1 and not token.isalnum():
             return token
@@ -111,23 +123,32 @@ def strip_marks(text: str) -> tuple[str, bool, bool]:
             return text, dots, debris
 
 
+def _context(*tokens: int) -> int:
+    h = 1
+    for t in tokens:
+        h = (h * 0x9E3779B97F4A7C15 + t + 3) & _MASK
+    return h
+
+
 class Scan:
     """Prefix counts of a task's texts, and the tail of each text."""
 
     def __init__(self, vocabulary: str):
         self.shapes, self.segments = Shapes(vocabulary), {}
 
-    def read(self, text: str) -> tuple[list[int], bool, bool, bool, int | None]:
-        """Count the text's segments; give the prefix hashes of its tail (longest first), what is plain to see (sound end, debris, open block), and the hash of the identifier part it ends with."""
+    def read(self, text: str) -> tuple[list[int], bool, bool, bool, int | None, int | None, int | None, str]:
+        """Count the text's segments; give the prefix hashes of its tail (longest first), what is plain to see (sound end, debris, open block), the hashes of the identifier part, of the word and of the CONTEXT tokens it ends with, and its body for the prefix join."""
         body, dots, debris = strip_marks(text)
         number, segments, tail, context, tokens = self.shapes.number, self.segments, (), (), []
         before = number("^")
-        for line in body.split("\n"):
+        lines = body.split("\n")
+        for i, line in enumerate(lines, 1):
             line = line.strip()
             if not line:
                 continue
             first = True
-            for sentence in _SENTENCE.split(line):
+            sentences = _SENTENCE.split(line)
+            for j, sentence in enumerate(sentences, 1):
                 words = _TOKEN.findall(sentence)
                 if not words:
                     continue
@@ -136,11 +157,13 @@ class Scan:
                     if context:
                         segments[context] = segments.get(context, 0) + 1
                 tokens = words
-                numbers = [number(t) for t in words]
+                last = i == len(lines) and j == len(sentences)
+                numbers = [*map(number, words[:-1]), self.shapes.quiet(words[-1])] if last else [number(t) for t in words]
                 tail = (0, *numbers)
                 context = (before ^ 1, *numbers[:3]) if first else ()
                 first = False
             before = tail[-1] if tail else before
+        suffix = None if len(tail) <= CONTEXT else _context(*tail[-CONTEXT:])
         if len(tail) <= 3 and context:
             tail = context
         hashes: list[int] = []
@@ -151,13 +174,19 @@ class Scan:
         open_block = body.count("```") % 2 == 1 or body.rfind("<tool_call>") > body.rfind("</tool_call>")
         # a full stop after a path may be the one before its extension
         path = len(tokens) > 1 and tokens[-1] == "." and "/" in tokens[-2] and not _EXTENSION.search(tokens[-2])
-        return hashes[::-1][:4], bool(_TERMINAL.search(body)) and not dots and not path, debris, open_block, self._last_part(tokens)
+        return hashes[::-1][:4], bool(_TERMINAL.search(body)) and not dots and not path, debris, open_block, self._last_part(tokens), self._last_word(tokens), suffix, body.translate(_LAST)
 
     def _last_part(self, tokens: list[str]) -> int | None:
         if not tokens or tokens[-1].isalpha() or not tokens[-1][-1].isalpha():
             return None
         return self.shapes.digest("part:" + _PART.findall(tokens[-1])[-1]) if _PART.search(tokens[-1]) else None
 
+    def _last_word(self, tokens: list[str]) -> int | None:
+        # capitalised, it may be a name that happens to begin a longer one
+        word = tokens[-1] if tokens else ""
+        whole = len(word) < 3 or not word.isalpha() or not word.islower() or word.encode("utf-8", "ignore") in self.shapes.known
+        return None if whole else self.shapes.digest("word:" + word)
+
     def drain(self) -> tuple[list[int], list[int], list[int], list[str]]:
         """The prefixes of the segments so far: hash, on (longer copies), stop (copies that end there); and the identifiers."""
         on: dict[int, int] = {}
@@ -169,13 +198,19 @@ class Scan:
                 on[h] = on.get(h, 0) + n
             h = (h * 0x9E3779B97F4A7C15 + segment[-1] + 1) & _MASK
             stop[h] = stop.get(h, 0) + n
+            if segment[0] == 0 and len(segment) > CONTEXT:
+                for run in zip(*(segment[i:] for i in range(1, CONTEXT + 1))):
+                    h = _context(*run)
+                    on[h] = on.get(h, 0) + n
+                on[h] -= n
+                stop[h] = stop.get(h, 0) + n
         names = list(self.shapes.names)
         self.segments, self.shapes.names = {}, set()
         keys = list(on.keys() | stop.keys())
         return keys, [on.get(k, 0) for k in keys], [stop.get(k, 0) for k in keys], names
 
 
-_SCHEMA = "doc_id long, source string, digest long, tail array<long>, sound boolean, debris boolean, open boolean, part long, hash long, goes_on long, stops long, name string"
+_SCHEMA = "doc_id long, source string, digest long, tail array<long>, sound boolean, debris boolean, open boolean, part long, word long, suffix long, body string, hash long, goes_on long, stops long, name string"
 
 
 def _scan(df: DataFrame, vocabulary: str) -> DataFrame:
@@ -185,9 +220,9 @@ def _scan(df: DataFrame, vocabulary: str) -> DataFrame:
         scan = Scan(vocabulary)
         for batch in batches:
             read = [scan.read(t) for t in batch.column("text").to_pylist()]
-            tail, sound, debris, open_block, part = zip(*read) if read else ((),) * 5
+            tail, sound, debris, open_block, part, word, suffix, body = zip(*read) if read else ((),) * 8
             own = [batch.column(c) for c in ("doc_id", "source", "digest")]
-            yield _batch([*own, pa.array(tail, pa.list_(pa.int64())), *(pa.array(x, pa.bool_()) for x in (sound, debris, open_block)), pa.array(part, pa.int64()), *[None] * 4], batch.num_rows)
+            yield _batch([*own, pa.array(tail, pa.list_(pa.int64())), *(pa.array(x, pa.bool_()) for x in (sound, debris, open_block)), *(pa.array(x, pa.int64()) for x in (part, word, suffix)), pa.array(body, pa.string()), *[None] * 4], batch.num_rows)
             if len(scan.segments) > HELD or len(scan.shapes.names) > HELD:
                 yield from _prefixes(scan)
         yield from _prefixes(scan)
@@ -196,7 +231,7 @@ def _scan(df: DataFrame, vocabulary: str) -> DataFrame:
     return texts.mapInArrow(run, _SCHEMA)
 
 
-_ARROW = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("digest", pa.int64()), ("tail", pa.list_(pa.int64())), ("sound", pa.bool_()), ("debris", pa.bool_()), ("open", pa.bool_()), ("part", pa.int64()), ("hash", pa.int64()), ("goes_on", pa.int64()), ("stops", pa.int64()), ("name", pa.string())])
+_ARROW = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("digest", pa.int64()), ("tail", pa.list_(pa.int64())), ("sound", pa.bool_()), ("debris", pa.bool_()), ("open", pa.bool_()), ("part", pa.int64()), ("word", pa.int64()), ("suffix", pa.int64()), ("body", pa.string()), ("hash", pa.int64()), ("goes_on", pa.int64()), ("stops", pa.int64()), ("name", pa.string())])
 
 
 def _batch(columns: list, n: int) -> pa.RecordBatch:
@@ -206,47 +241,95 @@ def _batch(columns: list, n: int) -> pa.RecordBatch:
 
 def _prefixes(scan: Scan) -> Iterator[pa.RecordBatch]:
     keys, on, stop, names = scan.drain()
-    yield _batch([*[None] * 8, *(pa.array(x, pa.int64()) for x in (keys, on, stop)), None], len(keys))
-    yield _batch([*[None] * 11, pa.array(names, pa.string())], len(names))
+    yield _batch([*[None] * 11, *(pa.array(x, pa.int64()) for x in (keys, on, stop)), None], len(keys))
+    yield _batch([*[None] * 14, pa.array(names, pa.string())], len(names))
 
 
 def _parts(names: DataFrame) -> DataFrame:
-    """(hash, goes_on, stops) of the parts of distinct identifiers: how many of them have a part longer than this, or just this."""
+    """(hash, goes_on, stops) of the parts of distinct identifiers, and of distinct words: how many of them have a part longer than this, or just this."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        digest = lambda s: xxhash.xxh64_intdigest("part:" + s) & _MASK
+        digest = lambda s: xxhash.xxh64_intdigest(s) & _MASK
         for batch in batches:
             counts: dict[str, list[int]] = {}
             for name in batch.column(0).to_pylist():
-                for part in _PART.findall(name):
-                    counts.setdefault(part, [0, 0])[1] += 1
+                kind, parts = ("word:", [name]) if name.isalpha() else ("part:", _PART.findall(name))
+                for part in parts:
+                    counts.setdefault(kind + part, [0, 0])[1] += 1
                     for i in range(1, len(part)):
-                        counts.setdefault(part[:i], [0, 0])[0] += 1
+                        counts.setdefault(kind + part[:i], [0, 0])[0] += 1
             on, stop = zip(*counts.values()) if counts else ((), ())
             yield pa.record_batch([pa.array([digest(c) for c in counts], pa.int64()), pa.array(on, pa.int64()), pa.array(stop, pa.int64())], ["hash", "goes_on", "stops"])
 
     return names.mapInArrow(run, "hash long, goes_on long, stops long")
 
 
+def _carried_on(bodies: DataFrame) -> DataFrame:
+    """Digests of the texts, of (digest, sound, body), that another text carries on within the line: the prefix self-join of whole texts.
+
+    Sorted, a text stands right before those it begins, so each is compared with the next
+    distinct one only; a partition's last text is compared with the first ones of those after it.
+    """
+
+    def breaks(body: str, following: str, sound: bool) -> bool:
+        if len(body) < PREFIX or not following.startswith(body):
+            return False
+        rest = following[len(body) :].split("\U0010fffd", 1)[0]
+        if sound:  # the full stop before an extension
+            return body[-1] == "." and rest[:1].isascii() and rest[:1].isalnum()
+        return any(c.isalnum() for c in rest)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId()
+        first, last, held = None, None, {}
+        for batch in batches:
+            found = []
+            for digest, sound, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if body != last:
+                    found += [d for d, s in held.items() if breaks(last, body, s)]
+                    first, last, held = body if first is None else first, body, {}
+                held[digest] = sound
+            yield pa.record_batch([pa.array(found, pa.int64()), *(pa.nulls(len(found), t) for t in (pa.int32(), pa.bool_(), pa.string(), pa.string()))], ["digest", "at", "sound", "body", "first"])
+        n = len(held)
+        yield pa.record_batch([pa.array(held, pa.int64()), pa.array([at] * n, pa.int32()), pa.array(held.values(), pa.bool_()), pa.array([last] * n, pa.string()), pa.array([first] * n, pa.string())], ["digest", "at", "sound", "body", "first"])
+
+    ordered = bodies.repartitionByRange("body").sortWithinPartitions("body")
+    seen = cut(ordered.mapInArrow(pairs, "digest long, at int, sound boolean, body string, first string"))
+    edges = seen.where("at IS NOT NULL")
+    # as many rows as partitions, and those that are copies of a partition's last text
+    after = edges.groupBy("at").agg(F.first("first").alias("first")).select(F.col("at").alias("before"), F.lead("first").over(Window.orderBy("at")).alias("following"))
+    met = edges.join(after, F.col("at") == F.col("before")).where("following IS NOT NULL")
+    crossing = met.where(F.udf(breaks, "boolean")("body", "following", "sound"))
+    return seen.where("at IS NULL").select("digest").union(crossing.select("digest")).distinct()
+
+
 def tails(df: DataFrame, vocabulary: str) -> DataFrame:
     """Per document (doc_id, source) whether it is ``truncated``, and the evidence.
 
     ``stops`` and ``goes_on`` say how often other texts stop, or carry on, after
     exactly this tail; ``known`` how many of the last tokens have to be left off
     to find longer copies at all (null if more than three); ``cut_part`` that it
-    ends in an identifier whose last part is hardly ever whole but often longer.
+    ends in an identifier whose last part is hardly ever whole but often longer;
+    ``cut_word`` that it ends in no word of the corpus but in the beginning of one;
+    ``cut_context`` that others go on after its last CONTEXT tokens; ``carried_on``
+    that another text begins with all of it.
     """
     scanned = cut(_scan(df, vocabulary))
-    docs = scanned.where("doc_id IS NOT NULL").select("doc_id", "source", "digest", "tail", "sound", "debris", "open", "part")
-    ends = docs.select("digest", F.col("tail")[0].alias("hash")).distinct().groupBy("hash").agg(F.lit(0).cast("long").alias("goes_on"), F.lit(0).cast("long").alias("stops"), F.count("*").alias("ends"))
+    docs = scanned.where("doc_id IS NOT NULL").select("doc_id", "source", "digest", "tail", "sound", "debris", "open", "part", "word", "suffix")
+    carried = _carried_on(scanned.where("doc_id IS NOT NULL").where(F.length("body") >= PREFIX).select("digest", "sound", "body"))
+    ends = docs.select("digest", F.explode(F.array(F.col("tail")[0], "suffix")).alias("hash")).where("hash IS NOT NULL").distinct().groupBy("hash").agg(F.lit(0).cast("long").alias("goes_on"), F.lit(0).cast("long").alias("stops"), F.count("*").alias("ends"))
     parts = _parts(scanned.where("name IS NOT NULL").select("name").distinct())
     own = scanned.where("hash IS NOT NULL").select("hash", "goes_on", "stops").unionByName(parts).withColumn("ends", F.lit(0).cast("long"))
     # an end carries on after its own shorter prefixes, as every sentence does
     prefixes = own.unionByName(ends).groupBy("hash").agg(F.sum("goes_on").alias("goes_on"), F.sum("stops").alias("stops"), F.sum("ends").alias("ends"))
-    # offset -1 looks up the part of an identifier that the tail ends with
-    wanted = docs.select("doc_id", F.posexplode("tail").alias("off", "hash")).union(docs.where("part IS NOT NULL").select("doc_id", F.lit(-1), "part"))
+    # offsets -1 to -3 look up the part of an identifier, the word and the tokens that the tail ends with
+    wanted = docs.select("doc_id", F.posexplode("tail").alias("off", "hash"))
+    for k, c in ((-1, "part"), (-2, "word"), (-3, "suffix")):
+        wanted = wanted.union(docs.where(F.col(c).isNotNull()).select("doc_id", F.lit(k), c))
     looked = wanted.join(prefixes, "hash", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     at = lambda k, c: F.max(F.when(F.col("off") == k, zero(c)))
@@ -256,8 +339,11 @@ def tails(df: DataFrame, vocabulary: str) -> DataFrame:
         ((at(0, "stops") == 0) & (at(0, "ends") - 1 < RARE * F.coalesce(at(1, "goes_on"), F.lit(0)))).alias("only_ends"),
         F.min(F.when((F.col("off") >= 0) & (zero("goes_on") >= F.lit(SUPPORT)), F.col("off"))).alias("known"),
         F.coalesce((at(-1, "goes_on") >= SUPPORT) & (at(-1, "stops") <= WHOLE * (at(-1, "stops") + at(-1, "goes_on"))), F.lit(False)).alias("cut_part"),
+        F.coalesce((at(-2, "goes_on") > 0) & (at(-2, "stops") == 0), F.lit(False)).alias("cut_word"),
+        F.coalesce((at(-3, "goes_on") >= SUPPORT) & (at(-3, "stops") + F.greatest(at(-3, "ends") - 1, F.lit(0)) < RARE * at(-3, "goes_on")), F.lit(False)).alias("cut_context"),
     )
-    joined = docs.drop("tail", "digest", "part").join(seen, "doc_id")
+    found = docs.join(carried.withColumn("carried_on", F.lit(True)), "digest", "left").withColumn("carried_on", F.coalesce("carried_on", F.lit(False)))
+    joined = found.drop("tail", "digest", "part", "word", "suffix").join(seen, "doc_id")
     return joined.withColumn("truncated", _judge())
 
 
@@ -267,7 +353,8 @@ def _judge() -> Column:
     whole = (stops >= STOPS * (stops + on)) & ~F.col("only_ends")
     off = F.greatest(F.coalesce("known", F.lit(9)), F.lit(1))
     unsettled = off <= F.when(F.col("sound"), 1).otherwise(2)
-    return F.col("debris") | F.col("open") | F.col("cut_part") | F.when(settled, ~whole).otherwise(unsettled)
+    plain = F.col("debris") | F.col("open") | F.col("cut_part") | F.col("carried_on")
+    return plain | F.when(settled, ~whole).otherwise(unsettled | F.col("cut_word") | (~F.col("sound") & F.col("cut_context")))
 
 
 def truncated(df: DataFrame, vocabulary: str) -> DataFrame:

@@ -65,3 +65,11 @@ def test_identifier_counts_do_not_depend_on_tasks(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, hash string")
     one, many = ({r.doc_id for r in T.tails(df.repartitionByRange(n, "doc_id"), VOCABULARY).where("cut_part").collect()} for n in (1, 61))
     assert one == many == set()
+
+
+def test_cuts_without_siblings(spark):
+    long = "Vessel registry of the harbour office, second ledger: the quartermaster counted"
+    rows = [(1, "Perennial shrubs outlived every orchard.\n\nGardeners whispered proudly about peren"), (2, "Gardeners whispered loudly about perennial shrubs."), (3, long + " eleven barrels"), (4, long + " eleven barrels of tar and pitch.\nSigned"), (5, long + " nine crates.\n\nWith regards, Zo")]
+    rows += [(10 + i, f"Zebra {a} and so they agreed because of the weather. Rain fell.") for i, a in enumerate(("lions", "tigers", "otters", "badgers"))] + [(20, "Unlike yesterday's plan, trains ran late because of the")]
+    df = spark.createDataFrame([(i, "s", t, "x") for i, t in rows], "doc_id long, source string, text string, hash string")
+    assert {r.doc_id for r in T.truncated(df, VOCABULARY).collect()} == {1, 3, 20}
