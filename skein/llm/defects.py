@@ -1,8 +1,8 @@
 """Broken pairs of prompt and response, with the type of the defect.
 
 Refusals are found through templates: the sentences of all responses, masked to
-their shapes, are clustered by verified MinHash. A cluster that recurs across
-unrelated prompts, and most of whose sentences decline in so many words, is a
+their shapes, are clustered by verified MinHash. A cluster most of whose
+sentences decline in so many words is a
 refusal template, and a response made of such templates and of sentences that
 only ever accompany them refuses. Copies, foreign languages and broken ends are
 plain checks of the pair.
@@ -208,21 +208,19 @@ def refusal_templates(judged: DataFrame) -> DataFrame:
 
     Those are all sentences of the responses that could refuse: some sentence
     declines, or the response opens and ends within OPENING sentences without
-    code. How often a shape is said, by how many prompts and in how many
-    declining responses is counted over all responses. ``refusal``: most
-    occurrences of its cluster decline, and the cluster recurs across prompts,
-    or is too rare to tell. ``company``: at least the share COMPANY of its
+    code. How often a shape is said, and in how many declining responses, is
+    counted over all responses. ``refusal``: most occurrences of its cluster
+    decline, under however many prompts. ``company``: at least the share COMPANY of its
     cluster's occurrences stand in responses that decline.
     """
     declined = F.exists("sentences", lambda s: s.declines)
     said = judged.select("prompt", F.explode("sentences").alias("s"), declined.alias("declined"), (declined | ((F.size("sentences") <= OPENING) & ~F.col("code"))).alias("open"))
     said = said.select("prompt", "s.digest", "s.shape", "s.declines", "declined", "open")
-    counted = said.groupBy("digest").agg(F.first("shape").alias("shape"), F.count("*").alias("n"), F.count_if("declines").alias("n_declines"), F.count_if("declined").alias("n_declined"), F.approx_count_distinct("prompt").alias("prompts"), F.bool_or("open").alias("open"))
+    counted = said.groupBy("digest").agg(F.first("shape").alias("shape"), F.count("*").alias("n"), F.count_if("declines").alias("n_declines"), F.count_if("declined").alias("n_declined"), F.bool_or("open").alias("open"))
     texts = cut(counted.where("open").drop("open"))
     grouped = texts.join(clusters(texts), "digest")
-    per = grouped.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("n_declines").alias("n_declines"), F.sum("n_declined").alias("n_declined"), F.sum("prompts").alias("prompts"))
-    recurs = (F.col("prompts") > 1) | (F.col("n") == 1)
-    refusal = recurs & (F.col("n_declines") >= 0.5 * F.col("n"))
+    per = grouped.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("n_declines").alias("n_declines"), F.sum("n_declined").alias("n_declined"))
+    refusal = F.col("n_declines") >= 0.5 * F.col("n")
     judged_clusters = per.select("cluster", refusal.alias("refusal"), (F.col("n_declined") >= COMPANY * F.col("n")).alias("company"))
     return grouped.select("digest", "cluster").join(judged_clusters, "cluster")
 

@@ -53,3 +53,9 @@ def test_clusters_hold_the_similar(spark):
             if alike(sets[i], sets[j]):
                 parent[root(i)] = root(j)
     assert all((got[i] == got[j]) == (root(i) == root(j)) for i in range(len(texts)) for j in range(i))
+
+
+def test_refusals_of_one_prompt(spark):
+    said = "I will not touch the billing ledger of this vendor."
+    df = spark.createDataFrame([(i, ASK, said, "x") for i in (1, 2)], SCHEMA)
+    assert {(r.rollout_row_id, r.defect) for r in D.defects(df).collect()} == {(1, "refusal"), (2, "refusal")}
