@@ -37,6 +37,22 @@ def running_counts(stream: DataFrame, time: str, late: str, window: str, keys: l
     return spark.read.schema(flat.schema).parquet(out)
 
 
+def window_counts(stream: DataFrame, time: str, window: str, keys: list[str], out: str, checkpoint: str | None = None) -> DataFrame:
+    """All rows per event-time window and key, however late (start null: without time); run again, it only adds what is new."""
+    spark = stream.sparkSession
+    flat = "start timestamp, " + "".join(f"`{k}` {stream.schema[k].dataType.simpleString()}, " for k in keys) + "n long"
+
+    def count(batch: DataFrame, number: int) -> None:
+        timed = batch.groupBy(F.window(time, window).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
+        untimed = batch.where(F.col(time).isNull()).groupBy(*keys).agg(F.count("*").alias("n")).select(F.lit(None).cast("timestamp").alias("start"), *keys, "n")
+        # a batch that is repeated after a failure replaces its own counts
+        timed.unionByName(untimed).write.mode("overwrite").parquet(f"{out}/batch-{number}")
+
+    spark.createDataFrame([], flat).write.mode("overwrite").parquet(f"{out}/batch-none")
+    _drained(stream.writeStream.foreachBatch(count), spark, checkpoint)
+    return spark.read.schema(flat).parquet(f"{out}/batch-*").groupBy("start", *keys).agg(F.sum("n").alias("n"))
+
+
 def resumed_append(stream: DataFrame, key: str, out: str, checkpoint: str | None = None) -> DataFrame:
     """Rows whose key isn't in ``out`` yet are appended batch by batch; a repeated batch adds nothing.
 

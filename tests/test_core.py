@@ -139,3 +139,14 @@ def test_windows_drop_late_rows(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(src)
     got = I.running_counts(stream, "ts", "10 minutes", "1 hour", ["k"], str(tmp_path / "w"))
     assert [(r.start.hour, r.n) for r in got.orderBy("start").collect()] == [(0, 60), (1, 60)]
+
+
+def test_window_counts_hold_every_row(spark, tmp_path):
+    src, out, cp = str(tmp_path / "ev"), str(tmp_path / "w"), str(tmp_path / "cp")
+    rows = spark.sql("SELECT timestamp'2025-01-01' + make_interval(0, 0, 0, 0, 0, id) AS ts, 'x' AS k FROM range(180)")
+    rows.coalesce(1).write.parquet(src)
+    counted = lambda: {(r.start and r.start.hour, r.n) for r in I.window_counts(spark.readStream.schema(rows.schema).parquet(src), "ts", "1 hour", ["k"], out, cp).collect()}
+    assert counted() == {(0, 60), (1, 60), (2, 60)}
+    late = spark.sql("SELECT timestamp'2025-01-01 00:30:00' AS ts, 'x' AS k UNION ALL SELECT NULL, 'x'")
+    late.coalesce(1).write.mode("append").parquet(src)
+    assert counted() == {(0, 61), (1, 60), (2, 60), (None, 1)}
