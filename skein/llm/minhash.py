@@ -52,9 +52,10 @@ def clusters(texts: DataFrame) -> DataFrame:
 
     In each band's bucket a text is compared with the bucket's smallest member
     and with its neighbour in the order of the next band's hashes, so a bucket
-    of k texts gives fewer than 2 k comparisons and no bucket is paired with
-    itself. Clusters are the components of the verified links; a text without
-    any is a cluster of its own.
+    of k texts gives fewer than 2 k comparisons. Members of a bucket that are then
+    still in different clusters are all compared, so no verified link of two
+    texts with a common bucket is lost. Clusters are the components of the
+    verified links; a text without any is a cluster of its own.
     """
     banded = cut(_banded(texts))
     sets = banded.select("digest", "shingles")
@@ -63,8 +64,22 @@ def clusters(texts: DataFrame) -> DataFrame:
     bucket = Window.partitionBy("band").orderBy("key", "digest")
     near = spread.select("digest", F.lag("digest").over(bucket).alias("before"), F.first("digest").over(bucket).alias("head"))
     pairs = near.select("digest", F.explode(F.array("before", "head")).alias("other_digest")).where("other_digest <> digest").select(F.least("digest", "other_digest").alias("a"), F.greatest("digest", "other_digest").alias("b")).distinct()
+    own = texts.select("digest", F.col("digest").cast("string").alias("vertex"))
+    first = cut(own.join(contract(_links(pairs, sets)), "vertex", "left").select("digest", F.coalesce("label", "vertex").alias("cluster")))
+    mixed = spread.select("digest", "band").join(first, "digest")
+    mixed = mixed.join(mixed.groupBy("band").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most")).where("least <> most").select("band"), "band")
+    sized = mixed.join(sets.select("digest", F.size("shingles").alias("size")), "digest")
+    # nothing of less than SIMILARITY the size can be as similar
+    close = F.expr(f"a.cluster < b.cluster AND least(a.size, b.size) >= {SIMILARITY} * greatest(a.size, b.size)")
+    across = sized.alias("a").join(sized.alias("b"), (F.col("a.band") == F.col("b.band")) & close)
+    missed = _links(across.select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")).distinct(), sets)
+    named = first.select(F.col("digest").cast("string").alias("digest"), "cluster")
+    between = missed.join(named.toDF("src", "x"), "src").join(named.toDF("dst", "y"), "dst").select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct()
+    return first.withColumnRenamed("cluster", "vertex").join(contract(between), "vertex", "left").select("digest", F.coalesce("label", "vertex").alias("cluster"))
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(src, dst) of those pairs (a, b) that are similar."""
     both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    links = both.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"))
-    own = texts.select("digest", F.col("digest").cast("string").alias("vertex"))
-    return own.join(contract(links), "vertex", "left").select("digest", F.coalesce("label", "vertex").alias("cluster"))
+    return both.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"))
