@@ -59,3 +59,12 @@ def test_refusals_of_one_prompt(spark):
     said = "I will not touch the billing ledger of this vendor."
     df = spark.createDataFrame([(i, ASK, said, "x") for i in (1, 2)], SCHEMA)
     assert {(r.rollout_row_id, r.defect) for r in D.defects(df).collect()} == {(1, "refusal"), (2, "refusal")}
+
+
+def test_links_past_head_and_neighbour(spark, monkeypatch):
+    a, b = M._permutations()
+    monkeypatch.setattr(M, "_permutations", lambda: (a * 0, b))  # one bucket for all
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    df = spark.createDataFrame([(1, one), (2, two), (3, one + " x"), (4, two + " x")], "digest long, shape string")
+    got = {r.digest: r.cluster for r in M.clusters(df).collect()}
+    assert got[1] == got[3] != got[2] == got[4]
