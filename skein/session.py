@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -29,10 +31,15 @@ def local_session(cores: int = 8, name: str = "skein") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from the session's setting.
 
-    Where the setting is unset (tests, a laptop) a local folder is set once.
+    A folder given to ``SparkContext.setCheckpointDir`` counts as well. Where
+    neither is set, a session in one process (tests, a laptop) gets a local
+    folder once; a cluster has to name one that its executors share.
     """
-    where = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    context = spark.sparkContext
+    where = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY) or context.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set(CHECKPOINT_KEY, where)
     return where.rstrip("/")
@@ -42,14 +49,32 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder and read again.
 
     The written table replaces the lineage, so a lost executor never sends a
-    job back to the start, and what is read twice is computed once.
+    job back to the start, and what is read twice is computed once. ``drop_cuts``
+    deletes the tables; those that are left when the process ends go then.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/skein-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    if not _TABLES:
+        atexit.register(_drop_all)
     _TABLES.setdefault(id(spark.sparkContext), []).append(path)
-    return out
+    df.write.option("compression", "lz4").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``cut`` with aggregates of ``df`` taken while it is written."""
+    seen = Observation()
+    out = cut(df.observe(seen, *(c.alias(name) for name, c in counts.items())))
+    return out, seen.get
+
+
+def _drop_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        try:
+            drop_cuts(spark)
+        except Exception:  # the JVM may have gone first
+            pass
 
 
 def drop_cuts(spark: SparkSession) -> None:
