@@ -1,31 +1,34 @@
 """Broken pairs of prompt and response, with the type of the defect.
 
 Refusals are found through templates: the sentences of all responses, masked to
-their shapes, are clustered by verified MinHash. A cluster most of whose
-sentences decline in so many words is a
-refusal template, and a response made of such templates and of sentences that
-only ever accompany them refuses. Copies, foreign languages and broken ends are
-plain checks of the pair.
+their shapes, are clustered by verified MinHash. A cluster that recurs across
+unrelated prompts, in responses that bring nothing of their own to any of them
+(no name, path, number or code that the prompt hasn't), answers none of them:
+it is a refusal template. Phrases of refusal break the tie where recurrence
+can't tell: for clusters under too few prompts and for those that name things.
+A response made of such templates and of sentences that mostly accompany them
+refuses. Copies, foreign languages and broken ends are plain checks of the pair.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.minhash import clusters
+from skein.llm.minhash import SHINGLE, clusters
 from skein.session import cut
 
 #: Share of the response that stands in the prompt, and of the prompt that the response holds, for a copy.
 COPIED, COVERED = 0.75, 0.5
-#: A sentence accompanies refusals if at least this share of its responses decline.
+#: A sentence accompanies refusals if at least this share of its occurrences stand in responses that hold a template.
 COMPANY = 0.5
-#: A response of at most so many sentences, without code, may be nothing but a template.
-OPENING = 3
+#: A template recurs under at least so many different prompts, and at least this share of its responses bring nothing of their own.
+PROMPTS, BARE = 3, 0.5
 
 #: Stand-ins for no content.
 STAND_INS = frozenset({"", "null", "none", "nil", "nan", "n a", "na", "empty", "no response", "no answer", "no output", "no content", "undefined", "tbd", "todo", "pending", "missing", "blank"})
@@ -71,11 +74,15 @@ _EVERY = {w: tuple(k for k, ws in _WORDS.items() if w in ws) for ws in _WORDS.va
 _THINK = re.compile(r"<think>.*?(?:</think>|$)", re.S | re.I)
 _SUBMIT = re.compile(r'^\s*<tool_call>\s*\{"tool"\s*:\s*"(?:submit|answer)".*?"(?:final_response|response|answer|text)"\s*:\s*"((?:[^"\\]|\\.)*)"\s*\}\s*\}\s*</tool_call>\s*$', re.S)
 _CODE = re.compile(r"```.*?(?:```|$)", re.S)
-_NAME = re.compile(r"`[^`\n]*`|[^\s_/\\:@]*[_/\\:@]\S*|\"[^\"\n ]*\"|'[^'\n ]*'|[\w.]*\d[\w.]*")
+_QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n ]*\"|'[^'\n ]*'")
+_NUMBER = re.compile(r"[\w.]*\d[\w.]*")
+_JOINTS = frozenset("_/\\:@")
 _TOKEN = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
-_SOUND = re.compile(r"(?:[.!?。！？…;:]|[.!?。！？]?[\"'”’»)\]}*`]+|</\w+>|```)$")
-_PATH_STOP = re.compile(r"/\w*(?<!\.py)\.$")
+_SOUND = frozenset(".!?。！？…;:\"'”’»)]}*`")
+_CLOSING = re.compile(r"</\w+>")
+_PATH_STOP = re.compile(r"/\w*\.")
+_MARKUP = re.compile(r"</?\w+>|```\w*")
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+\S")
 
 
@@ -88,13 +95,13 @@ def plain(text: str) -> str:
 
 
 def is_empty(text: str | None) -> bool:
-    """Blank, markup without content, or a stand-in for no content."""
+    """Blank, markup without content, or a stand-in for no content, at any length."""
     if text is None:
         return True
-    if len(text) > 400 and not text.isspace() and "<think>" not in text.lower():
-        return False
-    bare = re.sub(r"</?\w+>|```\w*", " ", _THINK.sub("", text))
-    return " ".join(_TOKEN.findall(bare.lower())) in STAND_INS
+    if "<" in text or "`" in text:
+        text = _MARKUP.sub(" ", _THINK.sub("", text))
+    # a stand-in has at most three words
+    return " ".join(m[0].lower() for m in islice(_TOKEN.finditer(text), 4)) in STAND_INS
 
 
 def breaks_off(text: str) -> bool:
@@ -102,30 +109,48 @@ def breaks_off(text: str) -> bool:
     if text.count("```") % 2 or text.count("<tool_call>") > text.count("</tool_call>"):
         return True
     end = text.rstrip()
-    if _SOUND.search(end[-12:]):
-        return bool(_PATH_STOP.search(end[-80:]))
+    if end[-1:] in _SOUND or (end[-1:] == ">" and _CLOSING.fullmatch(end, max(0, end.rfind("<")))):
+        return end[-1] == "." and "/" in end and bool(_PATH_STOP.fullmatch(end, end.rfind("/")))
     last = end.rsplit("\n", 1)[-1]
     if _ITEM.match(last):
         return "/" in last and not re.search(r"\.\w{1,5}$", last)
     return True
 
 
+def masked(text: str) -> tuple[list[str], list[str]]:
+    """The text's words with names (paths, joined or quoted ones) and numbers as ``x``, and those names and numbers."""
+    names: list[str] = []
+    if "`" in text or '"' in text or "'" in text:
+        names = [n for n in _QUOTED.findall(text) if len(n) > 2]
+        text = _QUOTED.sub(" x ", text)
+    out = []
+    for word in text.split():
+        if not word.isalpha():
+            if not _JOINTS.isdisjoint(word):
+                names.append(word)
+                word = "x"
+            elif not word.strip(".,;:!?()").isalpha() and (found := _NUMBER.findall(word)):
+                names += found
+                word = _NUMBER.sub(" x ", word)
+        out.append(word)
+    return out, names
+
+
 def language(text: str) -> str | None:
     """The language of most of the prose: en, de, fr, es, zh, or None if there is too little."""
-    bare = _NAME.sub(" ", _CODE.sub(" ", text) if "```" in text else text)
-    han, score = 0, dict.fromkeys(_WORDS, 0.0)
-    total = 0
-    for token in _TOKEN.findall(bare.lower()):
-        total += 1
-        if "一" <= token[0] <= "鿿":
-            han += 1
-        elif owners := _EVERY.get(token):
-            for k in owners:
-                score[k] += 1 / len(owners)
+    return _spoken(_TOKEN.findall(" ".join(masked(_CODE.sub(" ", text) if "```" in text else text)[0]).lower()))
+
+
+def _spoken(tokens: list[str]) -> str | None:
+    score = dict.fromkeys(_WORDS, 0.0)
+    for owners in filter(None, map(_EVERY.get, tokens)):
+        for k in owners:
+            score[k] += 1 / len(owners)
+    han = 0 if all(map(str.isascii, tokens)) else sum("一" <= t[0] <= "鿿" for t in tokens)
     best = max(score, key=score.get)
     if han > 6 and han / 2 > score[best]:
         return "zh"
-    return best if score[best] >= 2 and total >= 4 else None
+    return best if score[best] >= 2 and len(tokens) >= 4 else None
 
 
 def asked_language(prompt: str) -> str | None:
@@ -140,14 +165,14 @@ def is_copy(prompt: str, response: str) -> bool:
     if not a or not b:
         return False
     held = set(a)
-    if sum(t in held for t in b) < COPIED * len(b):
+    if len([t for t in b if t in held]) < COPIED * len(b):
         return False
     n = min(4, len(a), len(b))
-    runs = {tuple(a[i : i + n]) for i in range(len(a) - n + 1)}
+    runs = set(zip(*(a[i:] for i in range(n))))
     inside = [False] * len(b)
     hit = set()
-    for i in range(len(b) - n + 1):
-        if (run := tuple(b[i : i + n])) in runs:
+    for i, run in enumerate(zip(*(b[i:] for i in range(n)))):
+        if run in runs:
             inside[i : i + n] = [True] * n
             hit.add(run)
     return sum(inside) >= COPIED * len(b) and len(hit) >= COVERED * len(runs)
@@ -155,7 +180,11 @@ def is_copy(prompt: str, response: str) -> bool:
 
 def shape(sentence: str) -> str:
     """The sentence with names, numbers and quotations masked, in lower case."""
-    return " ".join(_TOKEN.findall(_NAME.sub(" x ", sentence).lower()))
+    return _shape(masked(sentence)[0])
+
+
+def _shape(words: list[str]) -> str:
+    return " ".join(_TOKEN.findall(" ".join(words).lower()))
 
 
 def declines(sentence: str) -> bool:
@@ -164,17 +193,33 @@ def declines(sentence: str) -> bool:
     return any(hint in low for hint in _HINTS) and bool(DECLINES.search(low))
 
 
-def judge(prompt: str | None, response: str | None) -> tuple[str | None, list[str], list[bool], bool]:
-    """The plain defect of a pair, its sentences' shapes, which of them decline, and whether code is given."""
+def brings(names: list[str], prompt: str) -> bool:
+    """Whether one of ``names`` doesn't stand in ``prompt``, which is in lower case; a word before a colon is no name."""
+    for name in names:
+        bare = name.strip(".,;:!?()[]{}`\"'").lower()
+        if bare and bare not in prompt and (len(bare) < len(name.rstrip(".,;:!?")) or not bare.isalpha()):
+            return True
+    return False
+
+
+def judge(prompt: str | None, response: str | None) -> tuple[str | None, bool, bool, list[tuple[str, bool, bool]]]:
+    """The plain defect of a pair, whether the response gives code, whether it brings anything of its own, and its sentences as (shape, declines, candidate).
+
+    A sentence is a candidate if it brings nothing of its own, or if some sentence of its response declines.
+    """
     if is_empty(response):
-        return "empty", [], [], False
+        return "empty", False, False, []
     text, prompt = plain(response), prompt or ""
-    sentences = [s for s in _SENTENCE.split(_CODE.sub("\n", text)) if s.strip() and not s.lstrip().startswith(">")]
+    sentences = [s for s in _SENTENCE.split(_CODE.sub("\n", text) if "```" in text else text) if s.strip() and not s.lstrip().startswith(">")]
+    read = [masked(s) for s in sentences]
+    shapes = [_shape(words) for words, _ in read]
     low = text.lower().replace("’", "'")
     hinted = any(hint in low for hint in _HINTS)
-    shapes = [(shape(s), hinted and declines(s)) for s in sentences]
-    shapes = [(s, d) for s, d in shapes if s]
-    spoken, wanted = language(text), language(prompt)
+    refused = [hinted and declines(s) for s in sentences]
+    asked = prompt.lower()
+    own = [brings(names, asked) for _, names in read]
+    told = [(s, d, not o or True in refused) for s, d, o in zip(shapes, refused, own) if s]
+    spoken, wanted = _spoken(" ".join(shapes).split()), language(prompt)
     if is_copy(prompt, text):
         defect = "copied"
     elif breaks_off(response):
@@ -183,11 +228,12 @@ def judge(prompt: str | None, response: str | None) -> tuple[str | None, list[st
         defect = "other_language"
     else:
         defect = None
-    return defect, [s for s, _ in shapes], [d for _, d in shapes], "```" in text or "<tool_call>" in text
+    code = "```" in text or "<tool_call>" in text
+    return defect, code, code or True in own, told
 
 
 def pairs(df: DataFrame) -> DataFrame:
-    """One pass over the pairs: rollout_row_id, defect, code, and the sentences as (digest, shape, declines)."""
+    """One pass over the pairs: rollout_row_id, defect, code, own, the prompt's number, and the sentences; only candidates carry their shape."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -195,34 +241,56 @@ def pairs(df: DataFrame) -> DataFrame:
         number = lambda s: xxhash.xxh64_intdigest(s) - (1 << 63)
         sentence = pa.struct([("digest", pa.int64()), ("shape", pa.string()), ("declines", pa.bool_())])
         for batch in batches:
-            got = [judge(p, r) for p, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            told = [[{"digest": number(s), "shape": s, "declines": d} for s, d in zip(g[1], g[2])] for g in got]
-            prompts = [number(p or "") for p in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[3] for g in got], pa.bool_()), pa.array(prompts, pa.int64()), pa.array(told, pa.list_(sentence))], ["rollout_row_id", "defect", "code", "prompt", "sentences"])
+            prompts = batch.column(1).to_pylist()
+            got = [judge(p, r) for p, r in zip(prompts, batch.column(2).to_pylist())]
+            flat = [s for *_, told in got for s in told]
+            offsets = [0, *accumulate(len(told) for *_, told in got)]
+            digests = pa.array([number(s) for s, _, _ in flat], pa.int64())
+            values = pa.StructArray.from_arrays([digests, pa.array([s if c else None for s, _, c in flat], pa.string()), pa.array([d for _, d, _ in flat], pa.bool_())], fields=list(sentence))
+            told = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+            words = [number(" ".join(_TOKEN.findall(p.lower())) if p else "") for p in prompts]
+            yield pa.record_batch([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], pa.bool_()), pa.array(words, pa.int64()), told], ["rollout_row_id", "defect", "code", "own", "prompt", "sentences"])
 
-    return df.select("rollout_row_id", "prompt", "assistant_response").mapInArrow(run, "rollout_row_id long, defect string, code boolean, prompt long, sentences array<struct<digest:long,shape:string,declines:boolean>>")
+    return df.select("rollout_row_id", "prompt", "assistant_response").mapInArrow(run, "rollout_row_id long, defect string, code boolean, own boolean, prompt long, sentences array<struct<digest:long,shape:string,declines:boolean>>")
 
 
-def refusal_templates(judged: DataFrame) -> DataFrame:
-    """(digest, cluster, refusal, company) of the sentence shapes that may make up a refusal.
+def sentence_clusters(judged: DataFrame) -> DataFrame:
+    """(rollout_row_id, prompt, own, digest, declines, cluster, words) of every occurrence of a sentence shape that is a candidate anywhere.
 
-    Those are all sentences of the responses that could refuse: some sentence
-    declines, or the response opens and ends within OPENING sentences without
-    code. How often a shape is said, and in how many declining responses, is
-    counted over all responses. ``refusal``: most occurrences of its cluster
-    decline, under however many prompts. ``company``: at least the share COMPANY of its
-    cluster's occurrences stand in responses that decline.
+    Copied prompts say nothing about answers, so they are left out unless they decline.
     """
     declined = F.exists("sentences", lambda s: s.declines)
-    said = judged.select("prompt", F.explode("sentences").alias("s"), declined.alias("declined"), (declined | ((F.size("sentences") <= OPENING) & ~F.col("code"))).alias("open"))
-    said = said.select("prompt", "s.digest", "s.shape", "s.declines", "declined", "open")
-    counted = said.groupBy("digest").agg(F.first("shape").alias("shape"), F.count("*").alias("n"), F.count_if("declines").alias("n_declines"), F.count_if("declined").alias("n_declined"), F.bool_or("open").alias("open"))
-    texts = cut(counted.where("open").drop("open"))
-    grouped = texts.join(clusters(texts), "digest")
-    per = grouped.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("n_declines").alias("n_declines"), F.sum("n_declined").alias("n_declined"))
-    refusal = F.col("n_declines") >= 0.5 * F.col("n")
-    judged_clusters = per.select("cluster", refusal.alias("refusal"), (F.col("n_declined") >= COMPANY * F.col("n")).alias("company"))
-    return grouped.select("digest", "cluster").join(judged_clusters, "cluster")
+    told = judged.where(F.coalesce(F.col("defect") != "copied", F.lit(True)) | declined)
+    said = told.select("rollout_row_id", "prompt", "own", F.explode("sentences").alias("s")).select("rollout_row_id", "prompt", "own", "s.digest", "s.shape", "s.declines")
+    texts = cut(said.where("shape IS NOT NULL").groupBy("digest").agg(F.first("shape").alias("shape")))
+    words = texts.select("digest", F.size(F.split("shape", " ")).alias("words"))
+    return said.drop("shape").join(clusters(texts), "digest").join(words, "digest")
+
+
+def refusal_templates(said: DataFrame) -> DataFrame:
+    """(cluster, refusal) of the clusters of ``sentence_clusters``.
+
+    A cluster of full shingles (SHINGLE words or more) is a template if it
+    recurs under PROMPTS prompts or more and at least BARE of its occurrences
+    stand in responses that bring nothing of their own. For the others the
+    phrases decide: most occurrences decline.
+    """
+    by_prompt = said.groupBy("cluster", "prompt").agg(F.count("*").alias("n"), F.count_if("declines").alias("n_declines"), F.count_if(~F.col("own")).alias("n_bare"), F.min("words").alias("words"))
+    per = by_prompt.groupBy("cluster").agg(F.count("*").alias("prompts"), F.sum("n").alias("n"), F.sum("n_declines").alias("n_declines"), F.sum("n_bare").alias("n_bare"), F.min("words").alias("words"))
+    recurs = (F.col("prompts") >= PROMPTS) & (F.col("n_bare") >= BARE * F.col("n")) & (F.col("words") >= SHINGLE)
+    return per.select("cluster", (recurs | (F.col("n_declines") >= 0.5 * F.col("n"))).alias("refusal"))
+
+
+def refusing(judged: DataFrame) -> DataFrame:
+    """rollout_row_id of the responses that consist of refusal templates and of their company."""
+    said = cut(sentence_clusters(judged))
+    marked = cut(said.join(refusal_templates(said), "cluster").select("rollout_row_id", "cluster", "refusal"))
+    rows = marked.where("refusal").select("rollout_row_id").distinct()
+    beside = marked.join(rows.withColumn("refuses", F.lit(1)), "rollout_row_id", "left")
+    company = beside.groupBy("cluster").agg((F.bool_or("refusal") | (F.count("refuses") >= COMPANY * F.count("*"))).alias("company")).where("company")
+    covered = beside.where("refuses = 1").join(company, "cluster").groupBy("rollout_row_id").agg(F.count("*").alias("covered"))
+    whole = judged.where("NOT code").select("rollout_row_id", F.size("sentences").alias("said"))
+    return covered.join(whole, "rollout_row_id").where("covered = said").select("rollout_row_id")
 
 
 def defects(df: DataFrame) -> DataFrame:
@@ -230,15 +298,11 @@ def defects(df: DataFrame) -> DataFrame:
 
     In this order: empty, refusal, copied, truncated, other_language. A null
     response is empty; a null prompt can't be copied nor name a language.
-    Repeated attempts count each; an empty table gives an empty result; further
-    columns are ignored.
+    Repeated attempts count each; rollout_row_id has to be unique; an empty
+    table gives an empty result; further columns are ignored.
     """
     judged = cut(pairs(df))
-    templates = refusal_templates(judged)
-    declining = judged.where(F.exists("sentences", lambda s: s.declines) | ((F.size("sentences") <= OPENING) & ~F.col("code")))
-    said = declining.select("rollout_row_id", F.explode("sentences").alias("s")).select("rollout_row_id", "s.digest")
-    rows = said.join(templates, "digest").groupBy("rollout_row_id").agg(F.bool_or("refusal").alias("refuses"), F.bool_or(~(F.col("refusal") | F.col("company"))).alias("solves"))
-    both = judged.select("rollout_row_id", "defect", "code").join(rows, "rollout_row_id", "left")
-    refused = F.coalesce(F.col("refuses") & ~F.col("solves") & ~F.col("code"), F.lit(False))
-    label = F.when(F.col("defect") == "empty", "empty").when(refused, "refusal").otherwise(F.col("defect"))
+    refused = refusing(judged).withColumn("refused", F.lit(True))
+    both = judged.select("rollout_row_id", "defect").join(refused, "rollout_row_id", "left")
+    label = F.when(F.col("defect") == "empty", "empty").when(F.col("refused"), "refusal").otherwise(F.col("defect"))
     return both.select("rollout_row_id", label.alias("defect")).where("defect IS NOT NULL")

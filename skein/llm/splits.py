@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.running import running_total
-from skein.session import cut
+from skein.session import cut, cut_counted
 
 #: Stand-ins that name nobody.
 PLACEHOLDERS = ("", "-", "--", "?", ".", "n/a", "na", "n.a.", "nil", "none", "null", "unknown", "tbd", "todo", "missing", "undefined", "anonymous")
@@ -73,35 +73,54 @@ def task_keys(df: DataFrame) -> DataFrame:
     return df.select("task_row_id", partition_name(F.col("task_partition")).alias("part"), F.array_distinct(F.array_compact(F.array(*keys))).alias("keys"))
 
 
+#: Copies of each parent's row that a round's edges are joined to.
+SALTS = 8
+#: One round: tails hang themselves onto a heads neighbour, and edges are rewritten onto the survivors.
+_ROUND = """
+m{r} AS (SELECT src AS vertex, min(dst) AS parent FROM {edges}
+  WHERE bit_get(xxhash64(src, '{seed}'), 0) = 0 AND bit_get(xxhash64(dst, '{seed}'), 0) = 1 GROUP BY src),
+s{r} AS (SELECT vertex, parent, explode(sequence(0, {salts} - 1)) AS salt FROM m{r}),
+e{r} AS (SELECT DISTINCT coalesce(a.parent, src) AS src, coalesce(b.parent, dst) AS dst FROM {edges} e
+  LEFT JOIN s{r} a ON a.vertex = src AND a.salt = pmod(xxhash64(dst), {salts})
+  LEFT JOIN s{r} b ON b.vertex = dst AND b.salt = pmod(xxhash64(src), {salts})
+  WHERE coalesce(a.parent, src) <> coalesce(b.parent, dst))"""
+#: Two rounds are one job, which writes their parents (rounds 0 and 1) and the edges that remain (2).
+_STEP = "SELECT 0 AS round, vertex, parent FROM m0 UNION ALL SELECT 1, vertex, parent FROM m1 UNION ALL SELECT 2, src, dst FROM e1"
+#: The labels of later rounds carried on to what hung onto them in the two rounds of a written table.
+_UNWIND = """
+m0 AS (SELECT vertex, parent FROM {hung} WHERE round = 0), m1 AS (SELECT vertex, parent FROM {hung} WHERE round = 1),
+both AS (SELECT m0.vertex, coalesce(m1.parent, m0.parent) AS parent FROM m0 LEFT JOIN m1 ON m1.vertex = m0.parent UNION ALL SELECT vertex, parent FROM m1)
+SELECT both.vertex, coalesce(l.label, both.parent) AS label FROM both LEFT JOIN {labels} l ON l.vertex = both.parent UNION ALL SELECT vertex, label FROM {labels}"""
+
+
 def contract(edges: DataFrame, seed: int = 17) -> DataFrame:
     """(vertex, label) of every vertex of ``edges`` (src, dst): equal labels, same component.
 
     Each round contracts at least a quarter of the vertices on average, so the
-    rounds are logarithmic and their tables shrink geometrically. Duplicates
-    are merged before each shuffle, and a vertex with very many neighbours is
-    only ever a join key of single parents, which the skew join may split.
+    rounds are logarithmic and their tables shrink geometrically. A vertex with
+    very many neighbours is merged away before the shuffle where it is a leaf's
+    parent (min per leaf, duplicates per edge), and where it is a join key, the
+    side that repeats it is salted: each salt meets its own copy of the one row
+    that names the parent. Vertices without a label are roots.
     """
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    now = cut(both.where("src <> dst").distinct())
+    sql = edges.sparkSession.sql
+    both = sql("SELECT DISTINCT src, dst FROM (SELECT src, dst FROM {e} UNION ALL SELECT dst, src FROM {e}) WHERE src <> dst", e=edges)
+    now, count = cut_counted(both, left=F.count(F.lit(1)))
+    empty = now.select(F.col("src").alias("vertex"), F.col("dst").alias("label"))
     hung: list[DataFrame] = []
-    while not now.isEmpty():
-        coin = lambda c, r=len(hung): F.xxhash64(F.col(c), F.lit(seed + r)).bitwiseAND(1)
-        mates = cut(now.where((coin("src") == 0) & (coin("dst") == 1)).groupBy(F.col("src").alias("vertex")).agg(F.min("dst").alias("parent")))
-        hung.append(mates)
-        for end in ("src", "dst"):
-            now = now.join(mates, now[end] == mates["vertex"], "left").withColumn(end, F.coalesce("parent", end)).select("src", "dst")
-        now = cut(now.where("src <> dst").distinct())
-    labels = None
-    for i, mates in enumerate(reversed(hung)):
-        if labels is None:
-            labels = mates.select("vertex", F.col("parent").alias("label"))
-            continue
-        found = mates.join(labels.withColumnRenamed("vertex", "parent"), "parent", "left").select("vertex", F.coalesce("label", "parent").alias("label"))
-        labels = cut(labels.union(found))
-    if labels is None:
-        return now.select(F.col("src").alias("vertex"), F.col("dst").alias("label"))
-    roots = labels.select(F.col("label").alias("vertex"), F.col("label")).distinct()
-    return labels.union(roots)
+    while count["left"]:
+        # a string seed is no part of the generated code, which all rounds then share
+        rounds = [_ROUND.format(r=r, edges="{now}" if r == 0 else "e0", seed=seed + 2 * len(hung) + r, salts=SALTS) for r in (0, 1)]
+        written, count = cut_counted(sql(f"WITH {','.join(rounds)} {_STEP}", now=now), left=F.count_if(F.col("round") == 2))
+        hung.append(written)
+        now = written.where("round = 2").select(F.col("vertex").alias("src"), F.col("parent").alias("dst"))
+    labels = empty.where("false")
+    for i, written in enumerate(reversed(hung), 1):
+        labels = sql(f"WITH {_UNWIND}", hung=written, labels=labels)
+        if i % 2 == 0:
+            labels = cut(labels)
+    labels = cut(labels)
+    return sql("SELECT vertex, label FROM {l} UNION ALL SELECT DISTINCT label, label FROM {l}", l=labels)
 
 
 def related_groups(df: DataFrame) -> DataFrame:

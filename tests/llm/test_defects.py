@@ -68,3 +68,60 @@ def test_links_past_head_and_neighbour(spark, monkeypatch):
     df = spark.createDataFrame([(1, one), (2, two), (3, one + " x"), (4, two + " x")], "digest long, shape string")
     got = {r.digest: r.cluster for r in M.clusters(df).collect()}
     assert got[1] == got[3] != got[2] == got[4]
+
+
+WORDS = "river candle marble saddle thistle copper lantern meadow harbor velvet".split()
+
+
+def test_unlisted_templates_are_found_by_recurrence(spark):
+    """Three refusals that no phrase names, each under 30 unrelated prompts, found whole; a sound template beside them stays."""
+    templates = [
+        lambda i: "I'm afraid that is beyond what I am permitted to do.",
+        lambda i: "That request falls outside my remit, so I will leave it alone.",
+        # no two are equal: only the clusters tell that they recur
+        lambda i: f"Purtroppo questo compito va oltre quello che mi è consentito fare in questa sede e quindi lo lascio a qualcun altro, caro {WORDS[i % 10]} {WORDS[i // 10]}",
+    ]
+    rows = []
+    for k, said in enumerate(templates):
+        assert not D.declines(said(0))
+        rows += [(k * 100 + i, f"Why does the {WORDS[i % 10]} {WORDS[i // 10]} of module {i} fail with code {k}?", said(i) + ("" if k < 2 else "."), "x") for i in range(30)]
+    rows += [(1000 + i, f"Why does lib/{w}.py fail on the {w}?", f"The check in lib/{w}_{i}.py was inverted, and every caller relied on it.", "x") for i, w in enumerate(WORDS)]
+    # short everyday answers are no templates
+    rows += [(2000 + i, f"Is the {w} done?", "Yes, it is.", "x") for i, w in enumerate(WORDS)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.rollout_row_id: r.defect for r in D.defects(df).collect()}
+    assert got == {r[0]: "refusal" for r in rows if r[0] < 1000}
+
+
+def test_clusters_decide(spark, monkeypatch):
+    """Without links the template of which no two copies are equal goes unfound."""
+    said = "Questo va oltre quello che mi è consentito fare in questa sede e quindi lo lascio volentieri a qualcun altro, caro {}."
+    df = spark.createDataFrame([(i, f"Why does the {w} fail?", said.format(w), "x") for i, w in enumerate(WORDS)], SCHEMA)
+    assert D.defects(df).count() == 10
+    monkeypatch.setattr(D, "clusters", lambda texts: texts.selectExpr("digest", "string(digest) AS cluster"))
+    assert D.defects(df).count() == 0
+
+
+def test_empty_at_any_length():
+    assert D.is_empty("<p></p>" * 500) and D.is_empty("```\n```\n" * 300) and D.is_empty(" \n" * 10_000)
+    assert not D.is_empty("<p></p>" * 500 + "word")
+    assert not D.breaks_off("All of it is done now.</final_answer_of_the_model>")
+
+
+def test_recall_of_links():
+    """Pairs at a similarity of 0.8 or more share a band nearly always."""
+    rng = random.Random(4)
+    a, b = M._permutations()
+    hit = total = 0
+    for _ in range(400):
+        own = [f"w{rng.randrange(5000)}" for _ in range(80)]
+        other = list(own)
+        for _ in range(rng.randint(1, 2)):
+            other[rng.randrange(80)] = "z"
+        x, y = M.shingles(" ".join(own)), M.shingles(" ".join(other))
+        if len(set(x) & set(y)) < M.SIMILARITY * len(set(x) | set(y)):
+            continue
+        total += 1
+        bands = [((a * (s % M._PRIME) + b) % M._PRIME).min(axis=1).reshape(M.BANDS, M.ROWS) for s in (x, y)]
+        hit += (bands[0] == bands[1]).all(axis=1).any()
+    assert total > 100 and hit >= 0.97 * total
