@@ -73,35 +73,29 @@ def task_keys(df: DataFrame) -> DataFrame:
     return df.select("task_row_id", partition_name(F.col("task_partition")).alias("part"), F.array_distinct(F.array_compact(F.array(*keys))).alias("keys"))
 
 
-#: Copies of each parent's row that a round's edges are joined to.
-SALTS = 8
+#: Rounds whose labels are unwound in one job.
+UNWOUND = 3
 #: One round: tails hang themselves onto a heads neighbour, and edges are rewritten onto the survivors.
-_ROUND = """
-m{r} AS (SELECT src AS vertex, min(dst) AS parent FROM {edges}
-  WHERE bit_get(xxhash64(src, '{seed}'), 0) = 0 AND bit_get(xxhash64(dst, '{seed}'), 0) = 1 GROUP BY src),
-s{r} AS (SELECT vertex, parent, explode(sequence(0, {salts} - 1)) AS salt FROM m{r}),
-e{r} AS (SELECT DISTINCT coalesce(a.parent, src) AS src, coalesce(b.parent, dst) AS dst FROM {edges} e
-  LEFT JOIN s{r} a ON a.vertex = src AND a.salt = pmod(xxhash64(dst), {salts})
-  LEFT JOIN s{r} b ON b.vertex = dst AND b.salt = pmod(xxhash64(src), {salts})
-  WHERE coalesce(a.parent, src) <> coalesce(b.parent, dst))"""
-#: Two rounds are one job, which writes their parents (rounds 0 and 1) and the edges that remain (2).
-_STEP = "SELECT 0 AS round, vertex, parent FROM m0 UNION ALL SELECT 1, vertex, parent FROM m1 UNION ALL SELECT 2, src, dst FROM e1"
-#: The labels of later rounds carried on to what hung onto them in the two rounds of a written table.
-_UNWIND = """
-m0 AS (SELECT vertex, parent FROM {hung} WHERE round = 0), m1 AS (SELECT vertex, parent FROM {hung} WHERE round = 1),
-both AS (SELECT m0.vertex, coalesce(m1.parent, m0.parent) AS parent FROM m0 LEFT JOIN m1 ON m1.vertex = m0.parent UNION ALL SELECT vertex, parent FROM m1)
-SELECT both.vertex, coalesce(l.label, both.parent) AS label FROM both LEFT JOIN {labels} l ON l.vertex = both.parent UNION ALL SELECT vertex, label FROM {labels}"""
+_ROUND = """WITH
+mates AS (SELECT src AS vertex, min(dst) AS parent FROM {now}
+  WHERE bit_get(xxhash64(src, :seed), 0) = 0 AND bit_get(xxhash64(dst, :seed), 0) = 1 GROUP BY src),
+moved AS (SELECT DISTINCT coalesce(a.parent, src) AS src, coalesce(b.parent, dst) AS dst FROM {now}
+  LEFT JOIN mates a ON a.vertex = src LEFT JOIN mates b ON b.vertex = dst WHERE coalesce(a.parent, src) <> coalesce(b.parent, dst))
+SELECT true AS hung, vertex, parent FROM mates UNION ALL SELECT false, src, dst FROM moved"""
+#: The labels of later rounds carried on to what hung onto them in this one.
+_UNWIND = """SELECT vertex, label FROM {labels} UNION ALL
+SELECT m.vertex, coalesce(l.label, m.parent) AS label FROM {hung} m LEFT JOIN {labels} l ON l.vertex = m.parent WHERE m.hung"""
 
 
 def contract(edges: DataFrame, seed: int = 17) -> DataFrame:
     """(vertex, label) of every vertex of ``edges`` (src, dst): equal labels, same component.
 
     Each round contracts at least a quarter of the vertices on average, so the
-    rounds are logarithmic and their tables shrink geometrically. A vertex with
-    very many neighbours is merged away before the shuffle where it is a leaf's
-    parent (min per leaf, duplicates per edge), and where it is a join key, the
-    side that repeats it is salted: each salt meets its own copy of the one row
-    that names the parent. Vertices without a label are roots.
+    rounds are logarithmic and their tables shrink geometrically. A round is
+    one job, which writes its parents and the edges that remain. A vertex with
+    very many neighbours is merged before each shuffle (one parent per leaf,
+    distinct edges); where it is the key of a join, each of its edges meets the
+    one row that names its parent, so the skew join splits them at will.
     """
     sql = edges.sparkSession.sql
     both = sql("SELECT DISTINCT src, dst FROM (SELECT src, dst FROM {e} UNION ALL SELECT dst, src FROM {e}) WHERE src <> dst", e=edges)
@@ -110,14 +104,13 @@ def contract(edges: DataFrame, seed: int = 17) -> DataFrame:
     hung: list[DataFrame] = []
     while count["left"]:
         # a string seed is no part of the generated code, which all rounds then share
-        rounds = [_ROUND.format(r=r, edges="{now}" if r == 0 else "e0", seed=seed + 2 * len(hung) + r, salts=SALTS) for r in (0, 1)]
-        written, count = cut_counted(sql(f"WITH {','.join(rounds)} {_STEP}", now=now), left=F.count_if(F.col("round") == 2))
+        written, count = cut_counted(sql(_ROUND, args={"seed": str(seed + len(hung))}, now=now), left=F.count_if(~F.col("hung")))
         hung.append(written)
-        now = written.where("round = 2").select(F.col("vertex").alias("src"), F.col("parent").alias("dst"))
+        now = written.where("NOT hung").select(F.col("vertex").alias("src"), F.col("parent").alias("dst"))
     labels = empty.where("false")
     for i, written in enumerate(reversed(hung), 1):
-        labels = sql(f"WITH {_UNWIND}", hung=written, labels=labels)
-        if i % 2 == 0:
+        labels = sql(_UNWIND, hung=written, labels=labels)
+        if i % UNWOUND == 0:
             labels = cut(labels)
     labels = cut(labels)
     return sql("SELECT vertex, label FROM {l} UNION ALL SELECT DISTINCT label, label FROM {l}", l=labels)

@@ -68,3 +68,23 @@ def test_assignment_keeps_groups_and_shares(spark):
     assert all(len(v) == 1 for v in per.values())
     share = {s: sum(r.split_name == s for r in got) / 600 for s in ("train", "eval", "test")}
     assert abs(share["train"] - 0.8) < 0.01 and abs(share["eval"] - 0.1) < 0.01
+
+
+def test_a_hub_is_split(spark):
+    """Half of all rows share one repository: the joins on it are split, and the labels are right."""
+    small = {"skewJoin.skewedPartitionThresholdInBytes": "10k", "skewJoin.skewedPartitionFactor": "2", "advisoryPartitionSizeInBytes": "5k", "autoBroadcastJoinThreshold": "-1"}
+    held = {f"spark.sql.adaptive.{k}": v for k, v in small.items()} | {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        # several map tasks, by which a partition is split
+        leaves = spark.range(0, 40_000, 1, 8).selectExpr("concat('leaf', id) AS src", "CASE WHEN id % 2 = 0 THEN 'hub' ELSE concat('own', id) END AS dst")
+        mates = spark.sql("SELECT 'hub' AS vertex, 'x' AS parent UNION ALL SELECT concat('own', id), 'y' FROM range(40000)")
+        joined = spark.sql("SELECT src, coalesce(parent, dst) AS dst FROM {e} LEFT JOIN {m} ON vertex = dst", e=leaves, m=mates)
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+        labels = {r.vertex: r.label for r in S.contract(leaves).collect()}
+        assert len({labels[f"leaf{i}"] for i in range(0, 40_000, 2)}) == 1 and len(set(labels.values())) == 20_001
+    finally:
+        for k in held:
+            spark.conf.unset(k)
