@@ -73,3 +73,54 @@ def test_cuts_without_siblings(spark):
     rows += [(10 + i, f"Zebra {a} and so they agreed because of the weather. Rain fell.") for i, a in enumerate(("lions", "tigers", "otters", "badgers"))] + [(20, "Unlike yesterday's plan, trains ran late because of the")]
     df = spark.createDataFrame([(i, "s", t, "x") for i, t in rows], "doc_id long, source string, text string, hash string")
     assert {r.doc_id for r in T.truncated(df, VOCABULARY).collect()} == {1, 3, 20}
+
+
+def test_prefixes_without_templates(spark):
+    """Paragraphs of the standard library's own documentation, one in ten cut within a sentence: most are found, few whole ones are."""
+    import ast
+    import random
+    import sysconfig
+    from pathlib import Path
+
+    found = set()
+    for path in sorted(Path(sysconfig.get_paths()["stdlib"]).glob("*.py")):
+        try:
+            tree = ast.parse(path.read_text())
+        except (SyntaxError, UnicodeDecodeError):
+            continue
+        for node in ast.walk(tree):
+            if isinstance(node, (ast.FunctionDef, ast.ClassDef, ast.Module)):
+                found |= {" ".join(p.split()) for p in (ast.get_docstring(node) or "").split("\n\n")}
+    texts = sorted(p for p in found if len(p) > 120 and p[-1] == "." and ">>>" not in p)
+    rng = random.Random(3)
+    rows, cut = [], set()
+    for i, text in enumerate(texts):
+        if i % 10 == 0 and (short := text[: rng.randrange(len(text) // 2, len(text) - 2)].rstrip())[-1].isalnum():
+            cut.add(i)
+            text = short
+        rows.append((i, text, "x"))
+    got = {r.doc_id for r in T.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string"), VOCABULARY).collect()}
+    assert len(cut) > 80 and len(got & cut) >= 0.7 * len(cut) and len(got - cut) <= 0.01 * len(rows)
+
+
+def test_texts_that_begin_others(spark):
+    """The join of whole texts against every pair of texts."""
+    import random
+
+    rng = random.Random(5)
+    base = ["The cache of the river module was read before it was filled and " + " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(30)) for _ in range(40)]
+    texts = base + [b[: rng.randrange(20, len(b))].rstrip() for b in base for _ in range(3)] + base[:5]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    digests = {r.doc_id: r.d for r in df.selectExpr("doc_id", "xxhash64(text) AS d").collect()}
+    got = {r.digest for r in T._carried_on(T._bodies(df)).collect()}
+    want = {digests[i] for i, t in enumerate(texts) if len(t) >= T.PREFIX and any(len(u) > len(t) and u.startswith(t) for u in texts)}
+    assert got == want
+
+
+def test_counts_do_not_depend_on_partitions_or_chunks(spark, monkeypatch):
+    rows = [(i, f"The cache in lib/part_{i}.py holds {i} rows. It was read early by `load_{i}` and the rest", "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    columns = ["doc_id", "goes_on", "stops", "known", "cut_part", "cut_word", "cut_context", "truncated"]
+    one = T.tails(df.coalesce(1), VOCABULARY).select(*columns).orderBy("doc_id").collect()
+    monkeypatch.setattr(T, "CHUNK", 200)
+    assert T.tails(df.repartition(9), VOCABULARY).select(*columns).orderBy("doc_id").collect() == one
