@@ -106,3 +106,49 @@ def response_payload(tool_output: Column, head: int = 368, tail: int = 368) -> C
             yield pd.Series(out, dtype=object)
 
     return render(tool_output)
+
+
+def completion_text(payload: Column) -> Column:
+    """The assistant's text of a completion payload: its content, else its text parts joined, else its first tool call as a block; null if there is none.
+
+    A call's block is canonical JSON, so what has only a call is read in an Arrow batch; all else by column expressions.
+    """
+    at = "$.choices[0].message."
+    content = F.get_json_object(payload, at + "content")
+    listed = F.from_json(content, "array<struct<text:string>>")
+    parts = F.when(content.startswith("["), F.nullif(strip(F.array_join(F.transform(F.filter(listed, lambda x: x["text"].isNotNull()), lambda x: x["text"]), "")), F.lit("")))
+    plain = F.when(~content.startswith("[") & (strip(content) != ""), content)
+    name = F.nullif(strip(F.get_json_object(payload, at + "tool_calls[0].function.name")), F.lit(""))
+    arguments = F.get_json_object(payload, at + "tool_calls[0].function.arguments")
+
+    @F.pandas_udf("string")
+    def call(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for names, given in batches:
+            out = []
+            for n, text in zip(names, given):
+                try:
+                    args = json.loads(text) if isinstance(text, str) else {}
+                except ValueError:
+                    args = {}
+                args = args if isinstance(args, dict) else {}
+                out.append("<tool_call>" + json.dumps({"tool": n, "args": args}, separators=(",", ":")) + "</tool_call>" if isinstance(n, str) else None)
+            yield pd.Series(out, dtype=object)
+
+    return F.coalesce(plain, parts, F.when(name.isNotNull(), call(name, arguments)))
+
+
+def loop_messages(raw: Column, contract: str, follow_up: str) -> Column:
+    """The messages an agent goes on from: those with role and content, the contract before the system's text or as its own message, and a follow-up where the last word isn't the user's."""
+    kept = F.filter(F.transform(raw, lambda m: F.struct(F.lower(strip(m["role"])).alias("role"), strip(m["content"]).alias("content"))), lambda m: (F.coalesce(m["role"], F.lit("")) != "") & (F.coalesce(m["content"], F.lit("")) != ""))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    led = F.coalesce(F.get(kept, F.lit(0))["role"] == "system", F.lit(False))
+    first = F.when(led, message("system", F.concat(F.lit(contract + "\n\n"), F.get(kept, F.lit(0))["content"]))).otherwise(message("system", F.lit(contract)))
+    rest = F.when(led, F.slice(kept, F.lit(2), F.size(kept))).otherwise(kept)
+    whole = F.concat(F.array(first), rest)
+    return F.when(F.element_at(whole, -1)["role"] == "user", whole).otherwise(F.concat(whole, F.array(message("user", F.lit(follow_up)))))
+
+
+def tool_messages(blocks: Column) -> Column:
+    """A user message per tool block that isn't blank, trimmed."""
+    kept = F.filter(F.transform(blocks, strip), lambda b: F.coalesce(b, F.lit("")) != "")
+    return F.transform(kept, lambda b: F.struct(F.lit("user").alias("role"), b.alias("content")))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,23 +61,51 @@ def first_error_line(text: Column) -> Column:
     return F.get(bare, F.lit(0))
 
 
-def raw_payload(stdout: Column, stderr: Column) -> Column:
-    """Labelled sections of what isn't blank."""
-    part = lambda name, c: F.when(F.coalesce(strip(c), F.lit("")) != "", F.concat(F.lit(name + ":\n"), c))
-    return F.concat_ws("\n\n", part("STDOUT", stdout), part("STDERR", stderr))
+def raw_payload(tool_output: Column) -> Column:
+    """A tool's JSON output as labelled sections: what it wrote, and its other fields as JSON with sorted keys.
+
+    With neither, the whole output as JSON. Null, broken JSON and other values than objects count as an empty object.
+    The byte format of the JSON (blanks, escapes) is Python's, so this is an Arrow batch function.
+    """
+
+    @F.pandas_udf("string")
+    def render(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([_sections(t) for t in texts], dtype=object)
+
+    return render(tool_output)
 
 
-def feedback(stdout: Column, stderr: Column, head: int = 368, tail: int = 368) -> Column:
-    """The canonical feedback: text, truncated, digest of the whole payload, identities, error line, hints."""
-    payload = normalize_text(raw_payload(stdout, stderr))
+def _sections(text) -> str:
+    try:
+        output = json.loads(text) if isinstance(text, str) else {}
+    except (ValueError, RecursionError):
+        output = {}
+    output = output if isinstance(output, dict) else {}
+    shown = [(name, str(output[key])) for name, key in (("STDOUT", "stdout"), ("STDERR", "stderr")) if str(output.get(key, ""))]
+    if others := {k: v for k, v in output.items() if k not in ("stdout", "stderr")}:
+        shown.append(("META", json.dumps(others, sort_keys=True)))
+    return "\n\n".join(f"{name}:\n{body}" for name, body in shown) or json.dumps(output, sort_keys=True)
+
+
+def feedback(tool_output: Column, head: int = 368, tail: int = 368) -> Column:
+    """The feedback packet: text, truncated, digest of the whole payload, identities, error line, hints, and which of these make it self-contained."""
+    raw = raw_payload(tool_output)
+    payload = normalize_text(raw)
     cut = head_tail(payload, head, tail)
+    identities, error, hints = artifact_identities(payload), first_error_line(payload), localization_hints(payload)
+    named, told, placed = F.size(identities) > 0, F.coalesce(strip(error), F.lit("")) != "", F.size(hints) > 0
     return F.struct(
         cut["text"].alias("text"),
         cut["truncated"].alias("truncated"),
-        F.sha2(raw_payload(stdout, stderr), 256).alias("digest"),
-        artifact_identities(payload).alias("identities"),
-        first_error_line(payload).alias("error_line"),
-        localization_hints(payload).alias("hints"),
+        F.sha2(raw, 256).alias("digest"),
+        identities.alias("identities"),
+        error.alias("error_line"),
+        hints.alias("hints"),
+        named.alias("has_identity"),
+        told.alias("has_error"),
+        placed.alias("has_hint"),
+        (named & told & placed).alias("self_contained"),
     )
 
 
@@ -105,21 +139,37 @@ def go_test_regex(targets: Column) -> Column:
     return F.when(F.size(targets) == 0, "^$").otherwise(F.concat(F.lit("^(?:"), F.array_join(escaped, "|"), F.lit(")$")))
 
 
+#: Points of a match that is exact, at the beginning, or inside.
+NAME_POINTS, PATH_POINTS, WORD_POINTS = (4000, 2600, 1800), (3200, 1400, 900), (900, 600, 350)
+#: Points of a word elsewhere in the path, of all words found, of the query without blanks inside the name, of its letters in order in the name or the path; what each folder costs.
+WORD_IN_PATH, ALL_WORDS, JOINED, LETTERS_IN_NAME, LETTERS_IN_PATH, FOLDER = 180, 500, 220, 140, 80, 25
+
+
 def path_score(path: Column, query: str) -> Column:
-    """A fuzzy score of a path for a query: exact, prefix and inner matches of name, path and words."""
-    low, q = F.lower(path), query.lower().strip()
-    name = F.element_at(F.split(low, "/"), -1)
-    score = F.when(name == q, 4000).when(name.startswith(q), 2600).when(name.contains(q), 1800).otherwise(0)
-    score = score + F.when(low == q, 3200).when(low.startswith(q), 1400).when(low.contains(q), 900).otherwise(0)
-    words = [w for w in q.replace("/", " ").replace("_", " ").split() if w]
-    held = F.lit(True)
-    for w in words:
-        score = score + F.when(name == w, 900).when(name.startswith(w), 600).when(name.contains(w), 350).when(low.contains(w), 180).otherwise(0)
-        held = held & low.contains(w)
+    """A fuzzy score of a path for a query; null where nothing of the query is in it.
+
+    Additive: the query against the file's name and against the path, each of
+    its words against the name, else the path, and the query as a run of
+    letters. Deep and long paths lose.
+    """
+    whole, words = query.lower().strip(), query.lower().split()
+    low = F.lower(path)
+    name = F.substring_index(low, "/", -1)
+    fit = lambda c, needle, points: F.when(c == needle, points[0]).when(c.startswith(needle), points[1]).when(c.contains(needle), points[2])
+    letters = lambda c: c.rlike("(?s)" + ".*".join(re.escape(x) for x in "".join(words)))
+    found = [fit(name, whole, NAME_POINTS), fit(low, whole, PATH_POINTS)]
+    found += [F.coalesce(fit(name, w, WORD_POINTS), F.when(low.contains(w), WORD_IN_PATH)) for w in words]
     if words:
-        score = score + F.when(held, 500).otherwise(0)
-    compact = "".join(c for c in q if c.isalnum())
-    if compact:
-        bare = F.regexp_replace(low, r"[^a-z0-9]", "")
-        score = score + F.when(bare.contains(compact), 220).when(bare.rlike(".*".join(compact)), 140).otherwise(0)
-    return F.when(score > 0, score - 25 * (F.size(F.split(low, "/")) - 1) - F.length(low)).otherwise(0)
+        found.append(F.when(reduce(lambda a, w: a & low.contains(w), words, F.lit(True)), ALL_WORDS))
+        joined = F.when(name.contains("".join(words)), JOINED) if len(words) > 1 else F.lit(None).cast("int")
+        found.append(F.coalesce(joined, F.when(letters(name), LETTERS_IN_NAME), F.when(letters(low), LETTERS_IN_PATH)))
+    points = reduce(lambda a, b: a + F.coalesce(b, F.lit(0)), found, F.lit(0))
+    return F.when(points > 0, points - FOLDER * (F.size(F.split(path, "/")) - 1) - F.length(path))
+
+
+def line_range(text: Column, first: int, last: int, most_lines: int, most_chars: int) -> Column:
+    """struct(text, truncated): lines ``first`` to ``last`` with their numbers, at most ``most_lines`` of them and ``most_chars`` characters."""
+    lines = F.split(text, "\n")
+    wanted = F.slice(lines, first, max(last - first + 1, 0))
+    body = F.array_join(F.transform(F.slice(wanted, 1, most_lines), lambda x, i: F.concat(F.lpad((i + first).cast("string"), 8, " "), F.lit("\t"), x)), "\n")
+    return F.struct(F.substring(body, 1, most_chars).alias("text"), ((F.size(wanted) > most_lines) | (F.length(body) > most_chars)).alias("truncated"))

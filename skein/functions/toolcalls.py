@@ -42,48 +42,49 @@ def _call(value) -> dict:
     return {"tool": tool, "args": args}
 
 
-def _checked(calls: list[dict], most: int) -> list[dict]:
-    if any(c["tool"] == "submit" for c in calls) and len(calls) > 1:
-        raise TurnError("submit must stand alone")
-    if len(calls) > most:
-        raise TurnError(f"{len(calls)} tool calls, at most {most}")
+#: The blocks of a turn; JSON strings are taken whole, so a closing tag inside one does no harm. What opens and never closes comes last.
+_BLOCKS = re.compile(
+    r"""<think>(?P<thought>.*?)</think>
+    |<tool_call>(?P<call>(?:"(?:[^"\\]|\\.)*+"|[^"<]++|<(?!/tool_call>))*+)</tool_call>
+    |<(?P<unclosed>think|tool_call)>""",
+    re.S | re.X,
+)
+
+
+def _within_limits(calls: list[dict], most: int) -> list[dict]:
+    """The calls of a turn, if there are some, no more than ``most``, and none beside a submission."""
+    tools = [c["tool"] for c in calls]
+    for broken, rule in ((not tools, "no tool call"), ("submit" in tools and len(tools) > 1, "submit must stand alone"), (len(tools) > most, f"{len(tools)} tool calls, at most {most}")):
+        if broken:
+            raise TurnError(rule)
     return calls
 
 
+def _begins_with_json(text: str) -> bool:
+    try:
+        json.JSONDecoder().raw_decode(text.lstrip())
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
 def parse_json_turn(text: str, most: int = 1) -> tuple[str | None, list[dict]]:
     """Thinking and calls of a turn whose calls are JSON; TurnError tells what is wrong.
 
-    The text is read block by block: JSON is decoded where a block opens, so a
-    closing tag inside a JSON string does no harm. Text between blocks is ignored.
+    One pattern splits the turn into its blocks, then the list of blocks is
+    judged. Text between blocks is ignored.
     """
-    thinking, thought, calls, at = None, False, [], 0
-    decode = json.JSONDecoder().raw_decode
-    while True:
-        think, tool = text.find("<think>", at), text.find("<tool_call>", at)
-        if think < 0 and tool < 0:
-            break
-        if think >= 0 and (tool < 0 or think < tool):
-            end = text.find("</think>", think)
-            if thought:
-                raise TurnError("more than one think block")
-            if end < 0:
-                raise TurnError("think block isn't closed")
-            thought, thinking, at = True, text[think + 7 : end].strip() or None, end + 8
-            continue
-        begin = tool + 11
-        begin += len(text[begin:]) - len(text[begin:].lstrip())
-        try:
-            value, end = decode(text, begin)
-        except ValueError:
-            raise TurnError("tool call isn't JSON") from None
-        rest = text[end:].lstrip()
-        if not rest.startswith("</tool_call>"):
-            raise TurnError("tool call isn't closed")
-        calls = _checked([*calls, _call(value)], most)
-        at = len(text) - len(rest) + 12
-    if not calls:
-        raise TurnError("no tool call")
-    return thinking, calls
+    blocks = [(m.lastgroup, m[m.lastgroup], m.end()) for m in _BLOCKS.finditer(text)]
+    of = lambda kind: [body for k, body, _ in blocks if k == kind]
+    for name, rest in ((body, text[end:]) for k, body, end in blocks if k == "unclosed"):
+        raise TurnError("tool call isn't JSON" if name == "tool_call" and not _begins_with_json(rest) else f"{name.replace('_', ' ')} block isn't closed")
+    if len(of("thought")) > 1:
+        raise TurnError("more than one think block")
+    try:
+        bodies = [json.loads(body) for body in of("call")]
+    except (ValueError, RecursionError):
+        raise TurnError("tool call isn't JSON") from None
+    return next((t.strip() or None for t in of("thought")), None), _within_limits([_call(b) for b in bodies], most)
 
 
 def _xml_value(tool: str, name: str, node: ElementTree.Element):
@@ -128,10 +129,8 @@ def parse_xml_turn(text: str, most: int = 1) -> tuple[str | None, list[dict]]:
             if node.tag in args:
                 raise TurnError(f"{node.tag} is repeated")
             args[node.tag] = _xml_value(tool, node.tag, node)
-        calls = _checked([*calls, {"tool": tool, "args": args}], most)
-    if not calls:
-        raise TurnError("no tool call")
-    return (thoughts[0].strip() or None) if thoughts else None, calls
+        calls.append({"tool": tool, "args": args})
+    return (thoughts[0].strip() or None) if thoughts else None, _within_limits(calls, most)
 
 
 def parse_turn(text: str, most: int = 1, mode: str = "auto") -> tuple[str | None, list[dict]]:
@@ -210,3 +209,39 @@ def chatml_payload(text: Column) -> Column:
     error = F.when(bare.isNull() | ~bare.startswith(start), "no assistant turn").when(~bare.contains(end), "turn isn't closed").when(~bare.endswith(end), "text after the turn")
     inner = F.btrim(F.substr(bare, F.lit(len(start) + 1), F.length(bare) - len(start) - len(end)))
     return F.struct(F.when(error.isNull(), F.regexp_replace(inner, r"^\s+|\s+$", "")).alias("payload"), error.alias("error"))
+
+
+def call_flags(text: Column, most: int = 1) -> Column:
+    """struct of flags of a turn with JSON calls: presence, count, parse, submit alone, allowed tools, required arguments, balanced thoughts.
+
+    Column expressions only, for turns whose JSON strings hold no closing tag; ``turn_column`` reads any turn.
+    """
+    turn = F.coalesce(text, F.lit(""))
+    bodies = F.regexp_extract_all(turn, F.lit("(?s)<tool_call>(.*?)</tool_call>"), F.lit(1))
+    tags = lambda tag: F.size(F.split(turn, tag, -1)) - 1
+    n = F.size(bodies)
+    field = lambda x, path: F.get_json_object(x, f"$.{path}")
+    raw = F.transform(bodies, lambda x: F.lower(F.btrim(F.coalesce(field(x, "tool"), F.lit("")))))
+    tools = F.transform(raw, lambda t: F.coalesce(F.element_at(F.create_map(*(F.lit(w) for kv in RENAMED.items() for w in kv)), t), t))
+
+    def complete(x):
+        tool = F.lower(F.btrim(field(x, "tool")))
+        out = F.lit(True)
+        for name, args in TOOLS.items():
+            names = [name, *(old for old, new in RENAMED.items() if new == name)]
+            for arg, (_, required, *_) in args.items():
+                if required:
+                    out = out & (~tool.isin(*names) | (F.btrim(F.coalesce(field(x, f"args.{arg}"), F.lit(""))) != ""))
+        return out
+
+    parsed = (n == tags("<tool_call>")) & (n > 0) & F.forall(raw, lambda t: t != "")
+    return F.struct(
+        (n > 0).alias("has_call"),
+        n.cast("bigint").alias("n_calls"),
+        ((n > 0) & (n <= most)).alias("count_valid"),
+        parsed.alias("parse_valid"),
+        (~F.array_contains(tools, "submit") | (n == 1)).alias("submit_alone"),
+        (parsed & F.forall(tools, lambda t: t.isin(*TOOLS))).alias("allowed_tools"),
+        (parsed & F.forall(bodies, complete)).alias("required_args"),
+        (tags("<think>") == tags("</think>")).alias("think_balanced"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +27,22 @@ def relabelled(df: DataFrame, rewards: str, threshold: float = 1.0) -> DataFrame
     return df.withColumn("resolved", F.aggregate(rewards, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))) >= threshold)
 
 
-def pool_fingerprint(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
-    """One row: the count and a digest of the rows in order.
+def pool_fingerprint(df: DataFrame, order: str, columns: list[str], targets: list[str]) -> DataFrame:
+    """One row: the count and the SHA-256 of the rows in order.
 
-    Rows are digested where they are; only the exclusive-or of digests that
-    each hold the row's own place is gathered, so no task sees all rows and the
-    order still counts.
+    A row is its ``columns``, each closed by a zero byte, then its lists of ``targets``, each element closed by a
+    zero byte, the first list by a one and the others by a two. A digest in order is sequential by nature: the
+    rows are made into text where they are, sorted by range, and stream through the driver one partition at a time.
     """
-    text = F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in [order, *columns]))
-    sha = F.sha2(text, 256)
-    part = lambda k: F.bit_xor(F.conv(F.substring(sha, 1 + 15 * k, 15), 16, 10).cast("bigint"))
-    return df.agg(F.count("*").alias("n"), *(part(k).alias(f"digest_{k}") for k in range(4)))
+    zero = F.lit("\u0000")
+    text = [F.concat(F.coalesce(F.col(c).cast("string"), F.lit("")), zero) for c in columns]
+    for k, c in enumerate(targets):
+        text += [F.array_join(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.concat(F.coalesce(x, F.lit("")), zero)), ""), F.lit("\u0001" if k == 0 else "\u0002")]
+    digest, n = hashlib.sha256(), 0
+    for row in df.select(order, F.concat(*text).alias("_text")).orderBy(order).toLocalIterator():
+        digest.update(row._text.encode("utf-8"))
+        n += 1
+    return df.sparkSession.createDataFrame([(n, digest.hexdigest())], "n long, digest string")
 
 
 def step_summary(df: DataFrame, step: str) -> DataFrame:
@@ -60,10 +67,29 @@ def patch_memory(steps: Column, most: int) -> Column:
     return F.array_join(F.transform(kept, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), strip(s["patch"]))), "\n")
 
 
-def verifier_text(status: Column, resolved: Column, submitted: Column) -> Column:
-    """What the verifier's outcome says in a sentence or two."""
-    said = F.when(status.isNull() | (status == "missing"), "No verdict was recorded.").when(status == "invalid", "The run was not valid.").when(F.coalesce(resolved, F.lit(False)), "All required tests passed.").otherwise("Some required tests failed.")
-    return F.concat_ws(" ", said, F.when(~F.coalesce(submitted, F.lit(False)), "Nothing was submitted."))
+#: What the verifier's outcome says to a model.
+NOT_CONFIGURED = "No verifier tests were configured for this task."
+NOT_CLEAN = "The final verifier did not complete cleanly, so the attempt is not verified as passing all required tests."
+PASSED, NOT_PASSED = "All required verifier tests passed.", "Not all required verifier tests passed."
+NO_SUBMIT, BAD_SUBMIT, GOOD_SUBMIT = "The student did not make a final submit call.", "The student made a final submit call, but its format was invalid.", "The student made a valid final submit call."
+
+
+def verifier_text(missing: Column, error: Column, resolved: Column, submitted: Column, submit_valid: Column, report: Column, heading: str) -> Column:
+    """What the verifier's outcome says, under a heading; empty where nothing is known. ``report`` speaks only where all else is silent."""
+    failed, told = F.coalesce(strip(error), F.lit("")), F.coalesce(strip(report), F.lit(""))
+    outcome = F.when(missing, NOT_CONFIGURED).when(failed != "", NOT_CLEAN).when(resolved, PASSED).when(~resolved, NOT_PASSED)
+    submission = F.when(~submitted, NO_SUBMIT).when(submit_valid, GOOD_SUBMIT).when(~submit_valid, BAD_SUBMIT)
+    said = F.array_compact(F.array(outcome, submission, F.when(failed != "", F.concat(F.lit("Verifier error: "), failed))))
+    lines = F.when(F.size(said) > 0, F.array_join(said, "\n")).when(told != "", F.concat(F.lit("The final verifier reported: "), told))
+    return F.coalesce(F.concat(F.lit(heading + "\n"), lines), F.lit(""))
+
+
+def feedback_at_turn(mode: str, turn: Column, turns: Column, current: bool) -> Column:
+    """Whether a turn's prompt carries the verifier's text: ``none``, ``all_turns``, else the last prompt only (of the last turn, or of the one before where the next turn is supervised)."""
+    if mode in ("none", "all_turns"):
+        return F.lit(mode == "all_turns")
+    last = turns - (1 if current else 2)
+    return (turns > 0) & (last >= 0) & (turn == last)
 
 
 def merged_truth(extra: Column, truth: Column) -> Column:

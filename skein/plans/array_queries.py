@@ -121,13 +121,15 @@ def pj36_response_payload(spark, sf_dir):
     return table(spark, sf_dir, "rollout_rows").select("rollout_row_id", M.response_payload(F.col("tool_output"), 8, 8).alias("payload"))
 
 
-@query("""WITH p AS (SELECT task_id, attempt_index, list(regexp_extract(tool_output, '[\\w/]+\\.py') ORDER BY message_id DESC) AS paths FROM turn_messages
+@query("""WITH p AS (SELECT task_id, attempt_index, flatten(list(list_reverse(regexp_extract_all(tool_output, '[\\w/]+\\.py')) ORDER BY message_id DESC)) AS paths FROM turn_messages
   WHERE task_id IS NOT NULL AND attempt_index IS NOT NULL AND regexp_matches(tool_output, '[\\w/]+\\.py') GROUP BY ALL), u AS (SELECT task_id, attempt_index, unnest(paths) AS path, generate_subscripts(paths, 1) AS i FROM p),
 f AS (SELECT task_id, attempt_index, path, min(i) AS i FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY task_id, attempt_index ORDER BY i) AS k FROM f)
 SELECT task_id, attempt_index, string_agg(path, ',' ORDER BY k) AS paths FROM r WHERE k <= 10 GROUP BY ALL""")
 def pj28_known_paths(spark, sf_dir):
-    m = table(spark, sf_dir, "turn_messages").where("task_id IS NOT NULL AND attempt_index IS NOT NULL").withColumn("path", F.regexp_extract("tool_output", r"[\w/]+\.py", 0)).where("path <> ''")
-    g = m.groupBy("task_id", "attempt_index").agg(F.sort_array(F.collect_list(F.struct("message_id", "path"))).alias("x"))
+    m = table(spark, sf_dir, "turn_messages").where("task_id IS NOT NULL AND attempt_index IS NOT NULL").select("task_id", "attempt_index", "message_id", F.posexplode(F.regexp_extract_all("tool_output", F.lit(r"[\w/]+\.py"), F.lit(0))).alias("at", "path"))
+    # only the last place of each path counts, so a path comes once from any number of messages
+    m = m.groupBy("task_id", "attempt_index", "path").agg(F.max(F.struct("message_id", "at")).alias("last"))
+    g = m.groupBy("task_id", "attempt_index").agg(F.sort_array(F.collect_list(F.struct("last", "path"))).alias("x"))
     return g.select("task_id", "attempt_index", F.array_join(M.known_paths(F.transform("x", lambda e: e["path"])), ",").alias("paths"))
 
 
@@ -168,12 +170,6 @@ def sf08_json_lookup(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", C.coerce_int(A.lookup(entries, "K"), F.lit(None).cast("bigint")).alias("k"))
 
 
-@query("""SELECT event_type, count(*) AS n, min(value) AS least, arg_min(event_id, (value, event_id)) AS least_at, arg_max(value, event_id) - arg_min(value, event_id) AS delta FROM events WHERE value IS NOT NULL GROUP BY 1""")
-def sf37_series_summary(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("value IS NOT NULL")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.min_by("event_id", F.struct("value", "event_id")).alias("least_at"), (F.max_by("value", "event_id") - F.min_by("value", "event_id")).alias("delta"))
-
-
 @query("""SELECT p_partkey, CASE WHEN p_size < 10 THEN 'easy' WHEN p_retailprice > 1500 THEN 'hard' ELSE 'mid' END AS band FROM part WHERE p_brand IN ('Brand#13') OR p_brand LIKE 'Brand#2%' OR p_name LIKE '%a%'""")
 def sf35_allowed(spark, sf_dir):
     p = table(spark, sf_dir, "part").where(A.metric_allowed(F.col("p_brand"), ["Brand#13"], ["Brand#2"], []) | A.metric_allowed(F.col("p_name"), [], [], ["a"]))

@@ -9,6 +9,7 @@ from skein.functions import coerce as C
 from skein.functions import text as X
 from skein.functions import toolcalls as TC
 from skein.operators import pool as P
+from skein.operators import records as R
 from skein.operators import selection as S
 from skein.session import table
 
@@ -241,21 +242,28 @@ def sf15_feedback_signals(spark, sf_dir):
     return m.select("message_id", F.array_join(X.artifact_identities(t), "|").alias("identities"), F.array_join(X.localization_hints(t), "|").alias("hints"), X.first_error_line(t).alias("error_line"))
 
 
-_PAY = "concat_ws(chr(10) || chr(10), CASE WHEN trim(coalesce(o, ''), e' \\t\\n\\r') <> '' THEN 'STDOUT:' || chr(10) || o END, CASE WHEN trim(coalesce(e, ''), e' \\t\\n\\r') <> '' THEN 'STDERR:' || chr(10) || e END)"
+_NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(raw, '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), e' \\t\\n\\r')"
+# The recorded outputs hold stdout, stderr and exit_code; one without the last has no META section.
+_RAW = f"""x AS (SELECT rollout_row_id, tool_output AS j, {_OUT} AS o, json_extract_string(tool_output, '$.stderr') AS e, json_extract_string(tool_output, '$.exit_code') AS c FROM rollout_rows),
+y AS (SELECT rollout_row_id, CASE WHEN j IS NULL THEN '{{}}' ELSE concat_ws(chr(10) || chr(10), CASE WHEN o <> '' THEN 'STDOUT:' || chr(10) || o END, CASE WHEN e <> '' THEN 'STDERR:' || chr(10) || e END,
+  CASE WHEN c IS NOT NULL THEN 'META:' || chr(10) || '{{"exit_code": ' || c || '}}' END) END AS raw FROM x)"""
 
 
-@query(f"""WITH x AS (SELECT rollout_row_id, {_OUT} AS o, json_extract_string(tool_output, '$.stderr') AS e FROM rollout_rows), y AS (SELECT rollout_row_id, {_PAY} AS raw FROM x)
-SELECT rollout_row_id, sha256(raw) AS digest, trim(regexp_replace(regexp_replace(regexp_replace(raw, '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), e' \\t\\n\\r') AS text FROM y""")
+@query(f"WITH {_RAW} SELECT rollout_row_id, sha256(raw) AS digest, {_NORMAL} AS text FROM y")
 def sf18_payload_digest(spark, sf_dir):
-    out, err = F.get_json_object("tool_output", "$.stdout"), F.get_json_object("tool_output", "$.stderr")
-    raw = X.raw_payload(out, err)
-    return table(spark, sf_dir, "rollout_rows").select("rollout_row_id", F.sha2(raw, 256).alias("digest"), X.normalize_text(raw).alias("text"))
+    raw = X.raw_payload(F.col("tool_output"))
+    return table(spark, sf_dir, "rollout_rows").select("rollout_row_id", raw.alias("raw")).select("rollout_row_id", F.sha2("raw", 256).alias("digest"), X.normalize_text(F.col("raw")).alias("text"))
 
 
-@query()
+@query(f"""WITH {_RAW}, z AS (SELECT rollout_row_id, raw, {_NORMAL} AS t FROM y), f AS (SELECT rollout_row_id, sha256(raw) AS digest,
+  list_sort(list_distinct(list_concat(regexp_extract_all(t, {_re(X.SELECTORS)}, 0), regexp_extract_all(t, {_re(X.PATHS)}, 0)))) AS identities,
+  list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(t, {_re(X.LINE_HINTS)}, 0), regexp_extract_all(t, {_re(X.SELECTORS)}, 0)), regexp_extract_all(t, {_re(X.SYMBOLS)}, 0)))) AS hints,
+  list_filter(list_transform(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, {_re(X.ERROR_LINE)})), lambda l: trim(l, e' -:\\t')), lambda l: l <> '')[1] AS error_line FROM z)
+SELECT rollout_row_id, digest, array_to_string(identities, '|') AS identities, array_to_string(hints, '|') AS hints, error_line, len(identities) > 0 AS has_identity, error_line IS NOT NULL AS has_error, len(hints) > 0 AS has_hint,
+  len(identities) > 0 AND error_line IS NOT NULL AND len(hints) > 0 AS self_contained FROM f""")
 def sf19_feedback_packet(spark, sf_dir):
-    packet = X.feedback(F.get_json_object("tool_output", "$.stdout"), F.get_json_object("tool_output", "$.stderr"))
-    return table(spark, sf_dir, "rollout_rows").select("rollout_row_id", packet.alias("p")).select("rollout_row_id", "p.*")
+    packet = table(spark, sf_dir, "rollout_rows").select("rollout_row_id", X.feedback(F.col("tool_output")).alias("p")).select("rollout_row_id", "p.*")
+    return packet.drop("text", "truncated").withColumn("identities", F.array_join("identities", "|")).withColumn("hints", F.array_join("hints", "|"))
 
 
 @query()
@@ -264,12 +272,21 @@ def pj03_parsed_turns(spark, sf_dir):
     return m.select("message_id", TC.turn_column(F.col("assistant_response"), 4).alias("t")).select("message_id", "t.*")
 
 
-@query("""SELECT message_id, CASE WHEN contains(assistant_response, '<tool_call>') THEN true ELSE false END AS has_call, len(regexp_extract_all(assistant_response, '<tool_call>', 0)) AS n_calls
-FROM turn_messages WHERE assistant_response IS NOT NULL""")
-def fl09_call_counts(spark, sf_dir):
-    m = table(spark, sf_dir, "turn_messages").where("assistant_response IS NOT NULL")
-    n = F.size(F.regexp_extract_all("assistant_response", F.lit("<tool_call>"), F.lit(0)))
-    return m.select("message_id", (n > 0).alias("has_call"), n.cast("bigint").alias("n_calls"))
+_TOOL_NAMES = ", ".join(f"'{t}'" for t in TC.TOOLS)
+_RENAME = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in TC.RENAMED.items())
+_NEEDS = " AND ".join(f"(tool <> '{t}' OR trim(coalesce(json_extract_string(body, '$.args.{a}'), '')) <> '')" for t, args in TC.TOOLS.items() for a, (_, needed, *_) in args.items() if needed)
+
+
+@query(f"""WITH m AS (SELECT message_id, coalesce(assistant_response, '') AS t FROM turn_messages),
+b AS (SELECT message_id, t, regexp_extract_all(t, '(?s)<tool_call>(.*?)</tool_call>', 1) AS bodies FROM m),
+u AS (SELECT message_id, unnest(bodies) AS body FROM b), v AS (SELECT message_id, body, CASE WHEN json_valid(body) THEN lower(trim(coalesce(json_extract_string(body, '$.tool'), ''))) ELSE '' END AS named FROM u),
+w AS (SELECT *, CASE named {_RENAME} ELSE named END AS tool FROM v),
+g AS (SELECT message_id, bool_and(named <> '') AS named, bool_or(tool = 'submit') AS submits, bool_and(tool IN ({_TOOL_NAMES})) AS allowed, bool_and(CASE WHEN named = '' THEN true ELSE {_NEEDS} END) AS complete FROM w GROUP BY 1),
+c AS (SELECT message_id, len(bodies) AS n, len(string_split(t, '<tool_call>')) - 1 AS opened, len(string_split(t, '<think>')) = len(string_split(t, '</think>')) AS think_balanced FROM b),
+p AS (SELECT c.*, n > 0 AND n = opened AND coalesce(g.named, true) AS parse_valid, g.submits, g.allowed, g.complete FROM c LEFT JOIN g USING (message_id))
+SELECT message_id, n > 0 AS has_call, n::BIGINT AS n_calls, n BETWEEN 1 AND 2 AS count_valid, parse_valid, NOT coalesce(submits, false) OR n = 1 AS submit_alone, parse_valid AND coalesce(allowed, true) AS allowed_tools, parse_valid AND coalesce(complete, true) AS required_args, think_balanced FROM p""")
+def fl09_turn_flags(spark, sf_dir):
+    return table(spark, sf_dir, "turn_messages").select("message_id", TC.call_flags(F.col("assistant_response"), 2).alias("f")).select("message_id", "f.*")
 
 
 @query(f"""WITH {_TASKS}, e AS (SELECT *, CASE WHEN len(f) = 0 THEN 'no fail_to_pass' WHEN len(p) = 0 THEN 'no pass_to_pass' WHEN list_has_any(f, p) THEN 'overlap' END AS err, {_IDENTITY} AS identity FROM tasks),
@@ -389,19 +406,38 @@ def sl01_stage_order(spark, sf_dir):
     return _numbered(t, "o", "place").select("task_row_id", "place")
 
 
-@query("""WITH p AS (SELECT DISTINCT regexp_extract(tool_output, '[\\w/]+\\.py') AS path FROM turn_messages WHERE tool_output IS NOT NULL AND regexp_matches(tool_output, '[\\w/]+\\.py'))
-SELECT path FROM p WHERE contains(path, 'scan') ORDER BY length(path), path LIMIT 25""")
-def sl08_first_matches(spark, sf_dir):
-    path = F.regexp_extract("tool_output", r"[\w/]+\.py", 0)
-    m = table(spark, sf_dir, "turn_messages").where("tool_output IS NOT NULL").select(path.alias("path")).where("path <> ''").distinct()
-    return m.where(F.col("path").contains("scan")).orderBy(F.length("path"), "path").limit(25)
+_PATHS_SQL = "p AS (SELECT DISTINCT unnest(regexp_extract_all(tool_output, '[\\w/]+\\.py')) AS path FROM turn_messages)"
+_QUERY = "scan node"
 
 
-@query()
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path that a tool's output names."""
+    m = table(spark, sf_dir, "turn_messages")
+    return m.select(F.explode(F.regexp_extract_all("tool_output", F.lit(r"[\w/]+\.py"), F.lit(0))).alias("path")).distinct()
+
+
+def _fit_sql(column: str, needle: str, points: tuple[int, int, int], other: str = "0") -> str:
+    return f"CASE WHEN {column} = '{needle}' THEN {points[0]} WHEN starts_with({column}, '{needle}') THEN {points[1]} WHEN contains({column}, '{needle}') THEN {points[2]} ELSE {other} END"
+
+
+_SCORE_SQL = " + ".join([
+    _fit_sql("name", _QUERY, X.NAME_POINTS), _fit_sql("low", _QUERY, X.PATH_POINTS),
+    *(_fit_sql("name", w, X.WORD_POINTS, f"CASE WHEN contains(low, '{w}') THEN {X.WORD_IN_PATH} ELSE 0 END") for w in _QUERY.split()),
+    f"CASE WHEN {' AND '.join(f'contains(low, {chr(39)}{w}{chr(39)})' for w in _QUERY.split())} THEN {X.ALL_WORDS} ELSE 0 END",
+    f"CASE WHEN contains(name, '{_QUERY.replace(' ', '')}') THEN {X.JOINED} WHEN regexp_matches(name, '{'.*'.join(_QUERY.replace(' ', ''))}') THEN {X.LETTERS_IN_NAME} WHEN regexp_matches(low, '{'.*'.join(_QUERY.replace(' ', ''))}') THEN {X.LETTERS_IN_PATH} ELSE 0 END",
+])
+
+
+@query(f"""WITH {_PATHS_SQL}, l AS (SELECT path, lower(path) AS low, string_split(lower(path), '/')[-1] AS name FROM p), s AS (SELECT path, {_SCORE_SQL} AS points FROM l)
+SELECT path, (points - {X.FOLDER} * (len(string_split(path, '/')) - 1) - length(path))::INT AS score FROM s WHERE points > 0 ORDER BY score DESC, path LIMIT 21""")
 def sl07_path_search(spark, sf_dir):
-    path = F.regexp_extract("tool_output", r"[\w/]+\.py", 0)
-    m = table(spark, sf_dir, "turn_messages").where("tool_output IS NOT NULL").select(path.alias("path")).where("path <> ''").distinct()
-    return m.withColumn("score", X.path_score(F.col("path"), "scan node")).where("score > 0").orderBy(F.desc("score"), "path").limit(21)
+    return _paths(spark, sf_dir).withColumn("score", X.path_score(F.col("path"), _QUERY)).where("score IS NOT NULL").orderBy(F.desc("score"), "path").limit(21)
+
+
+@query("""WITH l AS (SELECT message_id, unnest(string_split(tool_output, chr(10))) AS line, generate_subscripts(string_split(tool_output, chr(10)), 1) AS line_no FROM turn_messages WHERE tool_output IS NOT NULL)
+SELECT message_id, line_no, line FROM l WHERE contains(line, 'scan') ORDER BY message_id, line_no LIMIT 26""")
+def sl08_first_matches(spark, sf_dir):
+    return R.text_search(table(spark, sf_dir, "turn_messages"), "message_id", "tool_output", "scan", 25)
 
 
 @query("""WITH x AS (SELECT image_name, min(task_row_id) AS first FROM task_rows WHERE image_name IS NOT NULL GROUP BY 1 ORDER BY first LIMIT 20) SELECT task_row_id, image_name FROM task_rows WHERE image_name IN (SELECT image_name FROM x)""")
@@ -411,10 +447,13 @@ def sl10_first_images(spark, sf_dir):
     return t.join(F.broadcast(first.select("image_name")), "image_name", "left_semi").select("task_row_id", "image_name")
 
 
-@query("""SELECT rollout_row_id, line_no, line FROM (SELECT rollout_row_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS line_no FROM (SELECT rollout_row_id, json_extract_string(tool_output, '$.stdout') AS t FROM rollout_rows) WHERE t IS NOT NULL) WHERE line_no BETWEEN 2 AND 3""")
+@query("""WITH t AS (SELECT rollout_row_id, string_split(json_extract_string(tool_output, '$.stdout'), chr(10)) AS ls FROM rollout_rows),
+k AS (SELECT rollout_row_id, len(ls) AS n, list_transform(range(2, least(len(ls), 5) + 1), lambda i: lpad(i::VARCHAR, 8, ' ') || chr(9) || ls[i]) AS got FROM t WHERE ls IS NOT NULL),
+j AS (SELECT rollout_row_id, n, array_to_string(got[:2], chr(10)) AS body, len(got) > 2 AS many FROM k)
+SELECT rollout_row_id, substr(body, 1, 80) AS text, many OR length(body) > 80 AS truncated FROM j""")
 def sl12_line_range(spark, sf_dir):
-    r = table(spark, sf_dir, "rollout_rows").select("rollout_row_id", F.posexplode(F.split(F.get_json_object("tool_output", "$.stdout"), "\n")).alias("k", "line"))
-    return r.select("rollout_row_id", (F.col("k") + 1).cast("bigint").alias("line_no"), "line").where("line_no BETWEEN 2 AND 3")
+    part = X.line_range(F.get_json_object("tool_output", "$.stdout"), 2, 5, 2, 80)
+    return table(spark, sf_dir, "rollout_rows").select("rollout_row_id", part.alias("x")).where("x.text IS NOT NULL").select("rollout_row_id", "x.text", "x.truncated")
 
 
 @query("SELECT rollout_row_id, 'a' AS side FROM rollout_rows WHERE stage = 'format_rft' UNION ALL SELECT rollout_row_id, 'b' FROM rollout_rows WHERE stage <> 'format_rft'")

@@ -28,11 +28,6 @@ def ag07_step_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.step_summary(table(spark, sf_dir, "rollout_rows"), "step_index")
 
 
-def pj26_verifier_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "rollout_rows")
-    return r.select("rollout_row_id", G.verifier_text(F.col("verifier_status"), F.col("resolved"), F.col("assistant_response").contains("</tool_call>")).alias("text"))
-
-
 def pj29_patch_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     step = F.struct("ts", "event_id", F.when(F.col("event_type") == "purchase", "apply_patch").otherwise("read").alias("tool"), F.col("event_id").cast("string").alias("patch"), (F.col("event_id") % 3).cast("int").alias("exit_code"))
@@ -52,11 +47,7 @@ def sl11_chosen_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.chosen_turn(turns, ["task_id", "attempt_index"], "turn_index", F.col("answers") > 0, 7)
 
 
-def sf30_pool_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.pool_fingerprint(table(spark, sf_dir, "task_rows"), "task_row_id", ["task_id", "task_family", "image_name", "problem_statement"])
-
-
-QUERIES = {f.__name__: f for f in (fl04_length_filter, fl08_integrity_gate, fl13_relabelled, ag07_step_summary, pj26_verifier_text, pj29_patch_memory, jn11_merged_truth, sl11_chosen_turn, sf30_pool_fingerprint)}
+QUERIES = {f.__name__: f for f in (fl04_length_filter, fl08_integrity_gate, fl13_relabelled, ag07_step_summary, pj29_patch_memory, jn11_merged_truth, sl11_chosen_turn)}
 ORACLE = {
     "fl04_length_filter": "SELECT cache_row_id, CAST(original_length AS BIGINT) AS n_tokens FROM token_cache WHERE original_length <= 2048",
     "fl08_integrity_gate": """WITH g AS (SELECT count(*) AS n, avg(CAST(coalesce(original_length > sequence_length, false) AS DOUBLE)) AS truncation_rate, count(*) FILTER (NOT coalesce(original_length = sequence_length, false)) AS unequal,
@@ -64,8 +55,6 @@ ORACLE = {
     "fl13_relabelled": "SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) >= 2.0 AS resolved FROM orders GROUP BY 1",
     "ag07_step_summary": """WITH f AS (SELECT step_index, task_family, count(*) AS k FROM rollout_rows GROUP BY ALL), t AS (SELECT step_index, task_family AS top_family FROM f QUALIFY row_number() OVER (PARTITION BY step_index ORDER BY k DESC, coalesce(task_family, chr(65535))) = 1)
 SELECT p.step_index, n, tasks, resolved, latency, top_family FROM (SELECT step_index, count(*) AS n, count(DISTINCT task_id) AS tasks, count(*) FILTER (coalesce(resolved, false)) AS resolved, avg(latency_ms) AS latency FROM rollout_rows GROUP BY 1) p JOIN t USING (step_index)""",
-    "pj26_verifier_text": """SELECT rollout_row_id, concat_ws(' ', CASE WHEN verifier_status IS NULL OR verifier_status = 'missing' THEN 'No verdict was recorded.' WHEN verifier_status = 'invalid' THEN 'The run was not valid.' WHEN coalesce(resolved, false) THEN 'All required tests passed.' ELSE 'Some required tests failed.' END,
-  CASE WHEN NOT coalesce(contains(assistant_response, '</tool_call>'), false) THEN 'Nothing was submitted.' END) AS text FROM rollout_rows""",
     "pj29_patch_memory": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i) AS j FROM n WHERE i <= 40 AND event_type = 'purchase' AND event_id % 3 = 0)
 SELECT u.user_id, coalesce(string_agg(j || '. ' || event_id, chr(10) ORDER BY j), '') AS memory FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN k ON k.user_id = u.user_id GROUP BY 1""",
     "jn11_merged_truth": "SELECT rollout_row_id, coalesce(task_family, truth) AS family FROM rollout_rows LEFT JOIN (SELECT task_id, min(task_family) AS truth FROM task_rows WHERE task_id IS NOT NULL GROUP BY 1) USING (task_id)",

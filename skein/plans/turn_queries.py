@@ -58,11 +58,6 @@ def wn05_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("rollout_row_id", T.global_row_number(zero("step_index"), 512, 4, F.col("rollout_row_id") % 512, zero("attempt_index")).alias("number"))
 
 
-def ag08_generation_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "token_cache").agg(F.avg(F.coalesce(F.nullif("loss_token_count", F.lit(0)), "original_length", F.lit(0))).alias("mean"), F.count("*").alias("n"))
-    return r
-
-
 def pj33_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "turn_messages").where("assistant_response IS NOT NULL")
     return m.select("message_id", K.token_records(F.col("assistant_response"), TOKENIZER, 512).alias("t")).select("message_id", "t.*")
@@ -79,7 +74,7 @@ def st05_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select(F.col("o_custkey").alias("custkey"), "kind")
 
 
-QUERIES = {f.__name__: f for f in (pj24_turn_frames, pj39_active_turns, ag20_batch_metrics, fl06_probe_classes, ag16_group_results, ag10_metric_means, wn05_row_numbers, ag08_generation_length, pj33_token_records, sl09_slice, st05_set_operations)}
+QUERIES = {f.__name__: f for f in (pj24_turn_frames, pj39_active_turns, ag20_batch_metrics, fl06_probe_classes, ag16_group_results, ag10_metric_means, wn05_row_numbers, pj33_token_records, sl09_slice, st05_set_operations)}
 ORACLE = {
     "pj24_turn_frames": f"WITH {_FRAMES} SELECT task_id, attempt_index, turn_index, active, md5(recent) AS recent_md5 FROM frames",
     "pj39_active_turns": f"WITH {_FRAMES} SELECT task_id, attempt_index, turn_index, row_number() OVER (PARTITION BY task_id, attempt_index ORDER BY turn_index) - 1 AS place FROM frames WHERE active",
@@ -92,7 +87,6 @@ FROM per LEFT JOIN r USING (task_id, attempt_index)""",
     "ag16_group_results": "SELECT task_id, bool_and(coalesce(resolved, false)) AS all_passed, count(*) AS tests FROM rollout_rows WHERE task_id IS NOT NULL GROUP BY 1",
     "ag10_metric_means": "SELECT event_type AS name, sum(coalesce(value, 0.0)) / (SELECT count(*) FROM events) AS mean FROM events GROUP BY 1",
     "wn05_row_numbers": "SELECT rollout_row_id, CAST(coalesce(step_index, 0) AS BIGINT) * 2048 + rollout_row_id % 512 * 4 + coalesce(attempt_index, 0) AS number FROM rollout_rows",
-    "ag08_generation_length": "SELECT avg(coalesce(nullif(loss_token_count, 0), original_length, 0)) AS mean, count(*) AS n FROM token_cache",
     "sl09_slice": "SELECT p_partkey, p_name FROM part WHERE p_partkey BETWEEN 101 AND 140",
     "st05_set_operations": """WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 150000), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F')
 SELECT o_custkey AS custkey, 'both' AS kind FROM a WHERE o_custkey IN (SELECT o_custkey FROM b) UNION ALL SELECT o_custkey, 'only' FROM a WHERE o_custkey NOT IN (SELECT o_custkey FROM b)""",
