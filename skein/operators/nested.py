@@ -1,9 +1,9 @@
 """Deeply nested records as flat tables that keep parent-child links.
 
-JSON text is decoded once into Arrow nested arrays. From there on no row is
-parsed: every array of objects becomes a child table by its list offsets and
-parent indices, and the record's key, the parent's path and its own position
-travel with it through vectorised ``take`` kernels.
+JSON text is decoded, value by value, into Arrow nested arrays; that is the only
+walk over values. From there on every array of objects becomes a child table by
+its list offsets and parent indices, and the record's key, the parent's path
+and its own position travel with it through vectorised ``take`` kernels.
 
 Keys that are stored irregularly are settled first, over the whole table: a
 key that holds an array (or an object) anywhere is read as one wherever a
@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Keys whose value is what somebody or some program wrote; never structure.
+#: Keys whose strings are what somebody or some program wrote, so never structure; arrays and objects stored under them as such are.
 FREE_TEXT = frozenset({"stdout", "stderr", "text", "thinking", "content", "message", "command", "patch", "old", "new", "query", "code", "prompt"})
 
 ARRAY, OBJECT, STRING_CONTAINER, LONE = 1, 2, 4, 8
@@ -60,15 +60,15 @@ def _kinds(value, seen: dict[str, int]) -> None:
             stack.extend(x for x in at if isinstance(x, (list, dict)))
             continue
         for key, x in at.items():
+            if isinstance(x, (list, dict)):
+                stack.append(x)
             if key in FREE_TEXT:
                 continue
             key = _clean(key)
             if isinstance(x, list):
                 seen[key] = seen.get(key, 0) | ARRAY
-                stack.append(x)
             elif isinstance(x, dict):
                 seen[key] = seen.get(key, 0) | OBJECT
-                stack.append(x)
             elif isinstance(x, str) and (inner := _container(x)) is not None:
                 seen[key] = seen.get(key, 0) | STRING_CONTAINER
                 stack.append(inner)
@@ -125,7 +125,7 @@ def _skeleton(x: dict, kinds: dict[str, int], prefix: str, scalars: dict) -> dic
     for key, value in x.items():
         key = _clean(key)
         value = _regular(key, value, kinds)
-        if key in FREE_TEXT or not isinstance(value, (list, dict)):
+        if not isinstance(value, (list, dict)):
             scalars[prefix + key] = value
         elif isinstance(value, dict):
             if inner := _skeleton(value, kinds, f"{prefix}{key}.", scalars):
@@ -260,8 +260,8 @@ def nested_nodes(df: DataFrame, columns: list[str], key: str = "record_id") -> D
                 for arrays in flatten_batch(keys, batch.column(i + 1).to_pylist(), column, kinds):
                     yield pa.record_batch(list(arrays), names)
 
-    rows = df.select(key, *columns).dropDuplicates()
-    return rows.mapInArrow(expand, schema).dropDuplicates([key, "column_name", "node_path"])
+    # a repeated row gives the same nodes again; only nodes are shuffled, never the JSON
+    return df.select(key, *columns).mapInArrow(expand, schema).dropDuplicates([key, "column_name", "node_path"])
 
 
 def node_table(nodes: DataFrame, table_name: str, fields: dict[str, str]) -> DataFrame:

@@ -79,3 +79,11 @@ def test_lone_surrogates_do_not_crash(nodes):
 
 def test_empty_table(spark):
     assert nested_nodes(spark.createDataFrame([], "record_id long, doc string"), ["doc"]).count() == 0
+
+
+def test_arrays_under_free_text_keys_are_structure(spark):
+    """A string under such a key never is, whatever it holds."""
+    rows = [(1, '{"content": [{"a": 1}, null, {"b": [{"c": 2}]}], "message": {"parts": [{"x": 1}]}, "text": "[{\\"no\\": 1}]"}'), (2, '{"content": "[{\\"no\\": 1}]", "text": {"items": [{}]}}')]
+    df = spark.createDataFrame(rows, "record_id long, j string")
+    got = {(r.record_id, r.node_path) for r in N.nested_nodes(df, ["j"]).collect()}
+    assert got == {(1, "content[0]"), (1, "content[2]"), (1, "content[2].b[0]"), (1, "message.parts[0]"), (2, "text.items[0]")}
