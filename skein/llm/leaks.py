@@ -23,10 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.session import cut
+
 SEED, PASSAGE, EDITS, SHARD_WORDS, BLOCK_CHARS = 7, 30, 3, 1_500_000, 20_000_000
+#: Hits extended at once; a seed that everything shares is worked off in slices of so many.
+SLICE = 1_000_000
 
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|([nrtbf])|(.))")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<br\s*/?>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<br\s*/?>")
 _NUMBERING = re.compile(r"^[ \t>*+\-]*\d+[.)][ \t]+", re.M)
 _OTHER = re.compile(r"[^\w\s]|_")
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -135,7 +139,7 @@ def _reach(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, step: int
 
 
 def search(items: Items, doc_ids: np.ndarray, rows: list[list[int]]) -> pd.DataFrame:
-    """Leaks of one shard: doc_id, item_id, words (longest verbatim run) and item_word (where it begins)."""
+    """Leaks of one shard: doc_id, item_id, words (longest verbatim run), item_word and doc_word (where it begins in both)."""
     gap = [0] * 8
     flat: list[int] = list(gap)
     begins = []
@@ -145,21 +149,35 @@ def search(items: Items, doc_ids: np.ndarray, rows: list[list[int]]) -> pd.DataF
         flat += gap
     corpus = np.array(flat, np.int64)
     at = np.flatnonzero(_whole(corpus > 1))
-    empty = pd.DataFrame({"doc_id": [], "item_id": [], "words": [], "item_word": []}, dtype="int64")
+    empty = pd.DataFrame({"doc_id": [], "item_id": [], "words": [], "item_word": [], "doc_word": []}, dtype="int64")
     if not len(at) or not len(items.at):
         return empty
     keys = items.pack(corpus, at)
     order = np.argsort(keys, kind="stable")
     suffixes, keys = at[order], keys[order]
     low, high = np.searchsorted(keys, items.keys, "left"), np.searchsorted(keys, items.keys, "right")
-    hits = high - low
-    i = np.repeat(items.at, hits)
-    within = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)
-    j = suffixes[np.repeat(low, hits) + within]
+    upto = np.cumsum(high - low)
+    found = []
+    for begin in range(0, int(upto[-1]), SLICE):
+        hit = np.arange(begin, min(begin + SLICE, int(upto[-1])))
+        own = np.searchsorted(upto, hit, "right")
+        found.append(_extend(items, corpus, items.at[own], suffixes[high[own] - (upto[own] - hit)]))
+    if not found:
+        return empty
+    i, j, length = (np.concatenate(x) for x in zip(*found))
+    at_doc = np.searchsorted(np.array(begins), j, "right") - 1
+    starts = np.flatnonzero((items.row[:-1] == 0) & (items.row[1:] > 0)) + 1
+    item_word = i - starts[np.searchsorted(starts, i, "right") - 1]
+    out = pd.DataFrame({"doc_id": doc_ids[at_doc], "item_id": items.owner[i], "words": length, "item_word": item_word, "doc_word": j - np.array(begins)[at_doc]})
+    return out.sort_values(["doc_id", "item_id", "words", "item_word", "doc_word"], ascending=[True, True, False, True, True]).drop_duplicates(["doc_id", "item_id"])
+
+
+def _extend(items: Items, corpus: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those hits of item positions ``i`` at corpus positions ``j`` that are leaks, with the length of their verbatim runs."""
     first = (items.row[i - 1] != corpus[j - 1]) | (items.row[i - 1] == 0)  # else the hit one word earlier holds this one
     i, j = i[first], j[first]
     if not len(i):
-        return empty
+        return i, j, i
     length = SEED + _slide(items.row, i + SEED, corpus, j + SEED, 1)
     right = _reach(items.row, i + length, corpus, j + length, 1)
     left = _reach(items.row, i - 1, corpus, j - 1, -1)
@@ -167,22 +185,20 @@ def search(items: Items, doc_ids: np.ndarray, rows: list[list[int]]) -> pd.DataF
     for e1 in range(EDITS + 1):
         for e2 in range(EDITS + 1 - e1):
             leak |= length + right[e1] + left[e2] >= max(PASSAGE, 10 * (e1 + e2))
-    i, j, length = i[leak], j[leak], length[leak]
-    doc = doc_ids[np.searchsorted(np.array(begins), j, "right") - 1]
-    starts = np.flatnonzero((items.row[:-1] == 0) & (items.row[1:] > 0)) + 1
-    item_word = i - starts[np.searchsorted(starts, i, "right") - 1]
-    found = pd.DataFrame({"doc_id": doc, "item_id": items.owner[i], "words": length, "item_word": item_word})
-    return found.sort_values(["doc_id", "item_id", "words", "item_word"], ascending=[True, True, False, True]).drop_duplicates(["doc_id", "item_id"])
+    return i[leak], j[leak], length[leak]
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per document and leaked item: doc_id, item_id, words, item_word.
-
-    ``words`` is the longest verbatim run and ``item_word`` its place in the
-    item. Null and empty texts leak nothing, copies count each, repeated items
-    of one id are one item per text, extra columns are ignored. The evaluation
-    texts go to the executors in blocks of at most BLOCK_CHARS characters (one
-    text may exceed that by itself), each block searched over all documents.
+    """One row per document and leaked item: doc_id, item_id, words, item_word, doc_word.
+
+    ``words`` is the longest verbatim run, ``item_word`` and ``doc_word`` its
+    places in the item and in the document, in words. Null and empty texts leak
+    nothing, copies count each, repeated items of one id are one item per text,
+    extra columns are ignored. The evaluation texts go to the executors in
+    blocks of at most BLOCK_CHARS characters (one text may exceed that by
+    itself), each block searched over all documents; where there are several,
+    a block's leaks are written before the next one is fetched, so the driver
+    holds one block at a time.
     """
     items = items.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -191,9 +207,11 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        part = docs.mapInPandas(_searcher([(r.item_id, r.text) for r in own]), "doc_id long, item_id long, words long, item_word long")
+        part = docs.mapInPandas(_searcher([(r.item_id, r.text) for r in own]), "doc_id long, item_id long, words long, item_word long, doc_word long")
+        part = cut(part) if blocks > 1 else part
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("words", "item_word"), F.struct("words", -F.col("item_word"))).alias("m")).select("doc_id", "item_id", "m.words", "m.item_word")
+    best = F.max_by(F.struct("words", "item_word", "doc_word"), F.struct("words", -F.col("item_word"), -F.col("doc_word")))
+    return out.groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.*")
 
 
 def _searcher(texts: list[tuple[int, str]]):

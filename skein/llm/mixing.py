@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from skein.operators.running import running_total
 from skein.session import cut
 
-SLOTS = 10_000
+#: Tokens in a scheduled block. The schedule has a small row per block and is made on the driver, so a corpus of many terabytes takes larger blocks.
+BLOCK_TOKENS = 16_384
 
 
 def encoder(path: str):
@@ -52,31 +53,40 @@ def token_counts(df: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def schedule(weights: dict[str, float], slots: int) -> list[tuple[str, int, int]]:
-    """(source, block, slot) by earliest deadline first among the released blocks.
+    """(source, block, slot) of all blocks by earliest deadline first among the released ones.
 
     Block b of a source of weight w is released at floor(b / w) and due at
-    ceil((b + 1) / w); with weights that sum to 1 no block is late.
+    ceil((b + 1) / w); with weights that sum to 1 no block is late. A source
+    has the blocks that begin within ``slots``, the last one perhaps in part,
+    so a few slots more than that may be given.
     """
     def window(source: str, block: int) -> tuple[int, int]:
         w = weights[source]
         return int(block / w + 1e-9), int(-(-(block + 1) // w) if w == 1 else -((-(block + 1) / w + 1e-9) // 1))
 
-    waiting = [(0, source, 0) for source in sorted(weights) if weights[source] > 0]
+    blocks = {s: blocks_of(w, slots) for s, w in weights.items()}
+    waiting = [(0, source, 0) for source in sorted(weights) if blocks[source] > 0]
     heapq.heapify(waiting)
     ready: list[tuple[int, float, str, int]] = []
     out: list[tuple[str, int, int]] = []
-    for slot in range(slots if waiting else 0):
-        while waiting and waiting[0][0] <= slot:
+    slot = 0
+    while waiting or ready:
+        while waiting and (waiting[0][0] <= slot or not ready):
             _, source, block = heapq.heappop(waiting)
             heapq.heappush(ready, (window(source, block)[1], -weights[source], source, block))
-        if not ready:
-            continue
         _, _, source, block = heapq.heappop(ready)
         out.append((source, block, slot))
-        heapq.heappush(waiting, (window(source, block + 1)[0], source, block + 1))
+        slot += 1
+        if block + 1 < blocks[source]:
+            heapq.heappush(waiting, (window(source, block + 1)[0], source, block + 1))
     return out
 
 
+def blocks_of(weight: float, slots: int) -> int:
+    """How many blocks of a source begin within the slots."""
+    return max(1, -int(-weight * slots // 1)) if weight > 0 and slots > 0 else 0
+
+
 def quotas(counts: DataFrame, targets: DataFrame) -> list[tuple[str, float, int, int, float]]:
     """(source, share, tokens, records, quota) of each target; one small row per source.
 
@@ -91,14 +101,15 @@ def quotas(counts: DataFrame, targets: DataFrame) -> list[tuple[str, float, int,
     return [(s, share / whole, got[s].tokens, got[s].n, size * share / whole) for s, share, _ in live]
 
 
-def mix(df: DataFrame, targets: DataFrame, vocabulary: str, slots: int = SLOTS) -> DataFrame:
+def mix(df: DataFrame, targets: DataFrame, vocabulary: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Every use of a record in the mixture: doc_id, source, use (from 0), tokens, block, slot.
 
     Records are used in the order of ``slot``, then ``block_start``. A record is
     used in a repetition if its middle lies within its source's quota, so the
     shares are met within one record. Texts without tokens, sources without a
     target and null texts or sources aren't used; an empty table gives an empty
-    result. ``slots`` is the number of scheduled blocks at any size of input.
+    result. A block has ``block_tokens`` tokens at any size of input, and every
+    block has its slot.
     """
     counts = cut(token_counts(df, vocabulary).where("tokens > 0"))
     shares = quotas(counts, targets)
@@ -106,18 +117,19 @@ def mix(df: DataFrame, targets: DataFrame, vocabulary: str, slots: int = SLOTS)
     schema = "source string, block long, slot long"
     if not shares:
         return spark.createDataFrame([], "doc_id long, source string, use int, tokens long, block long, block_start double, slot long")
+    slots = max(1, round(sum(q for *_, q in shares) / block_tokens))
     order = schedule({s: share for s, share, *_ in shares}, slots)
     slot_of = spark.createDataFrame(pd.DataFrame(order, columns=["source", "block", "slot"]), schema)
-    quota = spark.createDataFrame([(s, share, int(t), float(q)) for s, share, t, _, q in shares], "source string, share double, source_tokens long, quota double")
+    quota = spark.createDataFrame([(s, share, int(t), float(q), blocks_of(share, slots)) for s, share, t, _, q in shares], "source string, share double, source_tokens long, quota double, blocks long")
     used = counts.join(F.broadcast(quota), "source")
     laid = running_total(used.withColumn("spot", F.xxhash64("doc_id")), [F.col("spot"), F.col("doc_id")], "tokens", "before", by="source")
     middle = F.col("before") + F.col("tokens") / 2
     uses = F.greatest(F.ceil((F.col("quota") - middle) / F.col("source_tokens")), F.lit(0)).cast("int")
     repeated = laid.where(uses > 0).withColumn("use", F.explode(F.sequence(F.lit(0), uses - 1)))
     start = F.col("before") + F.col("use").cast("double") * F.col("source_tokens")
-    block = F.floor(start / F.col("quota") * F.col("share") * slots).cast("long")
+    block = F.least(F.floor(start / F.col("quota") * F.col("share") * slots), F.col("blocks") - 1).cast("long")
     placed = repeated.withColumn("block_start", start).withColumn("block", block)
-    return placed.join(F.broadcast(slot_of), ["source", "block"], "left").select("doc_id", "source", "use", "tokens", "block", "block_start", F.coalesce("slot", F.lit(slots)).alias("slot"))
+    return placed.join(slot_of, ["source", "block"]).select("doc_id", "source", "use", "tokens", "block", "block_start", "slot")
 
 
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:

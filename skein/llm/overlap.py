@@ -68,7 +68,7 @@ def _rarity(texts: DataFrame) -> np.ndarray:
 
 
 def _rarest(texts: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """(digest, n, side, key): the word occurrences of which close texts share one.
+    """(digest, n, in_train, in_held, key, place): the word occurrences of which close texts share one, with their place in the order.
 
     Words are ordered by rarity, then number; the k-th occurrence of a word is
     an occurrence of its own. Of n words the first floor(TOLERANCE * n) + 1 are
@@ -81,7 +81,7 @@ def _rarest(texts: DataFrame, rarity: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for batch in batches:
-            digest, number, train, held, key = [], [], [], [], []
+            digest, number, train, held, key, place = [], [], [], [], [], []
             for d, n, t, e, sketch, sign in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 seen: dict[tuple[int, str], int] = {}
                 occurrences = []
@@ -91,13 +91,33 @@ def _rarest(texts: DataFrame, rarity: np.ndarray) -> DataFrame:
                 occurrences.sort()
                 own = occurrences[: int(TOLERANCE * n) + 1]
                 key += [f"{at}.{mark}.{k}" for _, at, mark, k in own]
+                place += range(len(own))
                 digest += [d] * len(own)
                 number += [n] * len(own)
                 train += [t] * len(own)
                 held += [e] * len(own)
-            yield pa.record_batch([pa.array(digest, pa.string()), pa.array(number, pa.int32()), pa.array(train, pa.bool_()), pa.array(held, pa.bool_()), pa.array(key, pa.string())], ["digest", "n", "in_train", "in_held", "key"])
+            yield pa.record_batch([pa.array(digest, pa.string()), pa.array(number, pa.int32()), pa.array(train, pa.bool_()), pa.array(held, pa.bool_()), pa.array(key, pa.string()), pa.array(place, pa.int32())], ["digest", "n", "in_train", "in_held", "key", "place"])
 
-    return texts.select("digest", "n", "in_train", "in_held", "sketch", "sign").mapInArrow(run, "digest string, n int, in_train boolean, in_held boolean, key string")
+    return texts.select("digest", "n", "in_train", "in_held", "sketch", "sign").mapInArrow(run, "digest string, n int, in_train boolean, in_held boolean, key string, place int")
+
+
+def _candidates(keys: DataFrame) -> DataFrame:
+    """(train_digest, held_digest, most) of the different texts that share a key and may be close.
+
+    Lengths are part of the key: texts within the tolerance lie in the same or
+    in neighbouring classes of a geometric scale. A key that many texts share
+    (those of one template) is thereby split by length, and further by the skew
+    join. What meets is kept only if this can be the pair's first shared key:
+    then all they share comes after it in both, and that must be enough.
+    """
+    scale = F.floor(F.log(F.col("n").cast("double")) / -float(np.log(1 - TOLERANCE))).cast("int")
+    a = keys.where("in_train").select(F.col("digest").alias("train_digest"), F.col("n").alias("n_train"), "key", F.col("place").alias("i"), scale.alias("scale"))
+    b = keys.where("in_held").select(F.col("digest").alias("held_digest"), F.col("n").alias("n_held"), "key", F.col("place").alias("j"), F.explode(F.array(scale - 1, scale, scale + 1)).alias("scale"))
+    longest = F.greatest("n_train", "n_held")
+    most = F.floor(longest * TOLERANCE).cast("int")
+    enough = F.least(F.col("n_train") - F.col("i"), F.col("n_held") - F.col("j")) >= longest - most
+    near = a.join(b, ["key", "scale"]).where((F.col("train_digest") != F.col("held_digest")) & (F.abs(F.col("n_train") - F.col("n_held")) <= most) & enough)
+    return near.select("train_digest", "held_digest", most.alias("most")).distinct()
 
 
 def close_texts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,11 +127,7 @@ def close_texts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     train = F.col("part") == "train"
     texts = cut(canonical.groupBy("digest").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("sign").alias("sign"), F.bool_or(train).alias("in_train"), F.bool_or(~train).alias("in_held")))
     keys = cut(_rarest(texts, _rarity(texts)))
-    a = keys.where("in_train").select(F.col("digest").alias("train_digest"), F.col("n").alias("n_train"), "key")
-    b = keys.where("in_held").select(F.col("digest").alias("held_digest"), F.col("n").alias("n_held"), "key")
-    most = F.floor(F.greatest("n_train", "n_held") * TOLERANCE).cast("int")
-    near = a.join(b, "key").where((F.col("train_digest") != F.col("held_digest")) & (F.abs(F.col("n_train") - F.col("n_held")) <= most))
-    candidates = near.select("train_digest", "held_digest", most.alias("most")).distinct()
+    candidates = _candidates(keys)
     signs = texts.select("digest", "sign")
     both = candidates.join(signs.select(F.col("digest").alias("train_digest"), F.col("sign").alias("x")), "train_digest").join(signs.select(F.col("digest").alias("held_digest"), F.col("sign").alias("y")), "held_digest")
     edits = F.expr("levenshtein(x, y, most)").cast("int")

@@ -9,6 +9,8 @@ items that fill the widened gap best.
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -116,7 +118,7 @@ def pack(items: DataFrame, configs: DataFrame, group_items: int = GROUP_ITEMS) -
     groups = max(1, -(-rows.count() // group_items))
     schema = "config_name string, grp int, bin int, bins int, cache_row_id long, piece int, start long, length long"
 
-    def fill(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def fill(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("cache_row_id")
         ids, lengths = frame.cache_row_id.to_numpy(), frame.length.to_numpy()
         parts = []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.session import cut
+from skein.session import cut, cut_counted
 
 #: A tail is whole if at least this share of the corpus' copies stop there too.
 STOPS = 0.1
@@ -41,6 +41,8 @@ CONTEXT = 3
 PREFIX = 40
 #: Characters read at once, and entries a task holds before it passes them on; neither changes a count.
 CHUNK, HELD = 1_000_000, 1_000_000
+#: Shared beginnings (8 bytes each) that are broadcast; of more, the join shuffles. Neither changes a result.
+LEADS = 1_000_000
 #: Words beyond this rank of the vocabulary are masked, as names are.
 COMMON = 4_000
 
@@ -397,7 +399,9 @@ def _bodies(df: DataFrame) -> DataFrame:
     Marks are at the end, so texts of PREFIX characters keep them; one begins another only if those hash alike.
     """
     texts = df.where(F.length(F.rtrim("text")) >= PREFIX).select(F.xxhash64("text").alias("digest"), F.xxhash64(F.substring("text", 1, PREFIX)).alias("lead"), "text")
-    shared = texts.groupBy("lead").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("lead")
+    shared, count = cut_counted(texts.groupBy("lead").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("lead"), n=F.count(F.lit(1)))
+    if count["n"] <= LEADS:  # known to be small: the texts stay where they are
+        shared = F.broadcast(shared)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
