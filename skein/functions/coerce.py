@@ -43,6 +43,12 @@ def coerce_int(text: Column, fallback: Column) -> Column:
     return F.when(whole != "", whole.cast("bigint")).otherwise(fallback)
 
 
+def exit_code(text: Column) -> Column:
+    """A whole number, also of a truth value (0 or 1) or a fraction without rest; else null."""
+    word = F.lower(strip(text.cast("string")))
+    return F.when(word.isin("true", "false"), (word == "true").cast("bigint")).otherwise(coerce_int(text, F.lit(None).cast("bigint")))
+
+
 def step_index(text: Column, fallback: Column) -> Column:
     """struct(value, error): null and blank take ``fallback``; fractions, negatives and words are errors."""
     bare = strip(text.cast("string"))

@@ -124,6 +124,11 @@ def retention(df: DataFrame, order: str, keep: int, protected: Column) -> DataFr
     return df.join(last, order, "left_anti").where(~protected)
 
 
+def row_slice(df: DataFrame, order: list[str], start: int, stop: int) -> DataFrame:
+    """The rows at positions start to stop (not included) of the order, each partition giving its own first ``stop`` at most."""
+    return df.orderBy(*order).limit(max(stop, 0)).orderBy(*order).offset(max(start, 0))
+
+
 def pad_arrays(df: DataFrame, arrays: dict[str, object], by: str) -> DataFrame:
     """Each array column right-padded with its pad value to the longest of its ``by`` group."""
     first = next(iter(arrays))

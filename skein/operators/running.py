@@ -26,3 +26,18 @@ def running_total(df: DataFrame, order: list[str | Column], value: str, out: str
     local = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inner = rows.withColumn("_local", F.coalesce(F.sum(value).over(local), F.lit(0)))
     return inner.join(shift, group).withColumn(out, F.col("_local") + F.col("_shift")).drop("_part", "_local", "_shift")
+
+
+def exact_quantile(df: DataFrame, value: str, q: float, by: str | None = None) -> DataFrame:
+    """(``by``, threshold, most, n): the interpolated quantile of the values that aren't null, no task holding a whole group.
+
+    The two rows at the quantile are found by their rank in a range-partitioned order.
+    """
+    group = [by] if by else []
+    rows = df.select(*group, F.col(value).cast("double").alias("_value"), F.lit(1).alias("_one")).where("_value IS NOT NULL")
+    ranked = running_total(rows, [F.col("_value")], "_one", "_rank", by)
+    counts = rows.groupBy(*group).agg(F.count("*").alias("n"), F.max("_value").alias("most")).withColumn("_at", (F.col("n") - 1) * F.lit(q))
+    both = ranked.join(counts, by) if by else ranked.crossJoin(counts)  # one row
+    at = lambda f: F.max(F.when(F.col("_rank") == f("_at"), F.col("_value")))
+    ends = both.groupBy(*group, "n", "most", "_at").agg(at(F.floor).alias("_low"), at(F.ceil).alias("_high"))
+    return ends.select(*group, (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))).alias("threshold"), "most", "n")

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.running import exact_quantile
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -132,8 +134,8 @@ def weighted_means(df: DataFrame, key: str, value: str, weight: str) -> DataFram
 
 def entropy_histogram(df: DataFrame, value: str) -> DataFrame:
     """Mean, maximum, four buckets and the share above the exact 0.8 quantile."""
-    threshold = df.agg(F.percentile(value, F.lit(0.8))).first()[0]
-    v, top = F.col(value), F.lit(threshold).cast("double")
+    found = exact_quantile(df, value, 0.8).select("threshold").first()
+    v, top = F.col(value), F.lit(found.threshold if found else None).cast("double")
     return df.where(v.isNotNull()).agg(
         F.avg(v).alias("mean"), F.max(v).alias("most"), F.count_if(v < 1).alias("below_1"), F.count_if((v >= 1) & (v < 2)).alias("from_1"), F.count_if((v >= 2) & (v < 4)).alias("from_2"), F.count_if(v >= 4).alias("from_4"), F.avg((v > top).cast("double")).alias("high_share"), F.max(top).alias("threshold")
     )

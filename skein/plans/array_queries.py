@@ -152,11 +152,12 @@ def jn08_ordered_records(spark, sf_dir):
     return J.ordered_records(tasks, records, "task_id", "place")
 
 
-@query("SELECT rollout_row_id, stage, length(assistant_response) AS n_chars, exit_code FROM rollout_rows WHERE assistant_response IS NOT NULL")
+@query("""SELECT r.rollout_row_id, r.stage, r.exit_code, k.original_length, k.cache_schema_version FROM rollout_rows r JOIN token_cache k ON k.cache_row_id = r.rollout_row_id""")
 def jn01_merge_by_row(spark, sf_dir):
-    r = table(spark, sf_dir, "rollout_rows")
-    made = r.where("assistant_response IS NOT NULL").select("rollout_row_id", F.length("assistant_response").cast("bigint").alias("n_chars"), F.lit("shadowed").alias("stage"))
-    return J.merge_by_row(r.select("rollout_row_id", "stage", "exit_code"), made, "rollout_row_id").select("rollout_row_id", "stage", "n_chars", "exit_code")
+    """Rollouts and token records by row number; both have task_id, and the rollout's wins."""
+    r = table(spark, sf_dir, "rollout_rows").select("rollout_row_id", "task_id", "stage", "exit_code")
+    k = table(spark, sf_dir, "token_cache").select(F.col("cache_row_id").alias("rollout_row_id"), "task_id", "original_length", "cache_schema_version")
+    return J.merge_by_row(r, k, "rollout_row_id").drop("task_id")
 
 
 @query()

@@ -11,6 +11,7 @@ from skein.functions import toolcalls as TC
 from skein.operators import pool as P
 from skein.operators import records as R
 from skein.operators import selection as S
+from skein.operators.running import exact_quantile
 from skein.session import table
 
 QUERIES: dict = {}
@@ -132,8 +133,7 @@ def ag11_token_profile(spark, sf_dir):
 
 @query("SELECT user_id % 16 AS grp, quantile_cont(value, 0.8) AS threshold, max(value) AS most, count(value) AS n FROM events GROUP BY 1")
 def ag12_quantiles(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.groupBy((F.col("user_id") % 16).alias("grp")).agg(F.percentile("value", F.lit(0.8)).alias("threshold"), F.max("value").alias("most"), F.count("value").alias("n"))
+    return exact_quantile(table(spark, sf_dir, "events").withColumn("grp", F.col("user_id") % 16), "value", 0.8, "grp")
 
 
 @query("""WITH v AS (SELECT value / 25 AS v FROM events), q AS (SELECT quantile_cont(v, 0.8) AS threshold FROM v)
@@ -351,19 +351,20 @@ def wn08_length_buckets(spark, sf_dir):
 
 
 _CONV = "task_id IS NOT NULL AND attempt_index IS NOT NULL"
+_PLACE = "place"  # messages arrive out of order, so their turn comes first
 
 
-@query(f"""SELECT message_id, CAST(sum(CAST(assistant_response IS NOT NULL AS BIGINT)) OVER w AS BIGINT) AS turn FROM turn_messages WHERE {_CONV} WINDOW w AS (PARTITION BY task_id, attempt_index ORDER BY message_id ROWS UNBOUNDED PRECEDING)""")
+@query(f"""SELECT message_id, CAST(sum(CAST(assistant_response IS NOT NULL AS BIGINT)) OVER w AS BIGINT) AS turn FROM turn_messages WHERE {_CONV} WINDOW w AS (PARTITION BY task_id, attempt_index ORDER BY turn_index NULLS FIRST, message_id ROWS UNBOUNDED PRECEDING)""")
 def wn07_turn_numbers(spark, sf_dir):
-    m = table(spark, sf_dir, "turn_messages").where(_CONV)
-    return P.turn_numbers(m, ["task_id", "attempt_index"], "message_id", F.col("assistant_response").isNotNull()).select("message_id", "turn")
+    m = table(spark, sf_dir, "turn_messages").where(_CONV).withColumn(_PLACE, F.struct("turn_index", "message_id"))
+    return P.turn_numbers(m, ["task_id", "attempt_index"], _PLACE, F.col("assistant_response").isNotNull()).select("message_id", "turn")
 
 
-@query(f"""SELECT message_id, coalesce(array_to_string(list_filter(list(coalesce(tool_output, '')) OVER (PARTITION BY task_id, attempt_index ORDER BY message_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), lambda x: trim(x) <> ''), chr(10) || chr(10)), '') AS recent
+@query(f"""SELECT message_id, coalesce(array_to_string(list_filter(list(coalesce(tool_output, '')) OVER (PARTITION BY task_id, attempt_index ORDER BY turn_index NULLS FIRST, message_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), lambda x: trim(x) <> ''), chr(10) || chr(10)), '') AS recent
 FROM turn_messages WHERE {_CONV}""")
 def wn02_recent_turns(spark, sf_dir):
-    m = table(spark, sf_dir, "turn_messages").where(_CONV)
-    return P.recent_turns(m, ["task_id", "attempt_index"], "message_id", "tool_output").select("message_id", F.col("recent"))
+    m = table(spark, sf_dir, "turn_messages").where(_CONV).withColumn(_PLACE, F.struct("turn_index", "message_id"))
+    return P.recent_turns(m, ["task_id", "attempt_index"], _PLACE, "tool_output").select("message_id", F.col("recent"))
 
 
 @query("""WITH n AS (SELECT user_id, event_type = 'error' AS flag, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events), r AS (SELECT user_id, k, k - row_number() OVER (PARTITION BY user_id ORDER BY k) AS run FROM n WHERE flag)

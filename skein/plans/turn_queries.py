@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import tokens as K
+from skein.operators import pool as P
 from skein.operators import turns as T
 from skein.session import table
 
@@ -64,7 +65,7 @@ def pj33_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sl09_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_partkey BETWEEN 101 AND 140").select("p_partkey", "p_name")
+    return P.row_slice(table(spark, sf_dir, "task_rows").select("task_row_id", "task_id"), ["task_row_id"], 40, 90)
 
 
 def st05_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,7 @@ FROM per LEFT JOIN r USING (task_id, attempt_index)""",
     "ag16_group_results": "SELECT task_id, bool_and(coalesce(resolved, false)) AS all_passed, count(*) AS tests FROM rollout_rows WHERE task_id IS NOT NULL GROUP BY 1",
     "ag10_metric_means": "SELECT event_type AS name, sum(coalesce(value, 0.0)) / (SELECT count(*) FROM events) AS mean FROM events GROUP BY 1",
     "wn05_row_numbers": "SELECT rollout_row_id, CAST(coalesce(step_index, 0) AS BIGINT) * 2048 + rollout_row_id % 512 * 4 + coalesce(attempt_index, 0) AS number FROM rollout_rows",
-    "sl09_slice": "SELECT p_partkey, p_name FROM part WHERE p_partkey BETWEEN 101 AND 140",
+    "sl09_slice": "SELECT task_row_id, task_id FROM task_rows ORDER BY task_row_id LIMIT 50 OFFSET 40",
     "st05_set_operations": """WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 150000), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F')
 SELECT o_custkey AS custkey, 'both' AS kind FROM a WHERE o_custkey IN (SELECT o_custkey FROM b) UNION ALL SELECT o_custkey, 'only' FROM a WHERE o_custkey NOT IN (SELECT o_custkey FROM b)""",
 }

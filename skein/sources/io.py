@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.sources.commits import write_json
+
 TOKEN_CACHE_COLUMNS = ("task_id", "attempt_index", "original_length", "sequence_length", "loss_token_count", "cache_schema_version", "cache_fingerprint")
 
 
@@ -23,7 +20,7 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def read_rows(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Rows of a .parquet table, a .json list or JSON lines; what isn't an object is left out."""
+    """Rows of a .parquet table, a .json list or JSON lines; what isn't an object is left out, and ``malformed`` counts it."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     reader = spark.read.option("mode", "DROPMALFORMED")
@@ -31,10 +28,16 @@ def read_rows(spark: SparkSession, path: str, schema: T.StructType | str | None
     return reader.json(path, multiLine=path.endswith(".json"))
 
 
-def read_bad_tasks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(task_id), (image_name) of a JSON document of records whose status is bad or isn't given."""
+def malformed(spark: SparkSession, path: str) -> int:
+    """How many lines of a JSON-lines file hold no object, blank ones aside."""
+    line = F.btrim("value")
+    return spark.read.text(path).where((line != "") & (~line.startswith("{") | F.get_json_object("value", "$").isNull())).count()
+
+
+def read_bad_tasks(spark: SparkSession, path: str, documents: str = "whole") -> tuple[DataFrame, DataFrame]:
+    """(task_id), (image_name) of a JSON document (or one per line) of records whose status is bad or isn't given."""
     schema = "records array<struct<task_id:string,image_name:string,status:string>>, bad_task_ids array<string>, bad_image_names array<string>"
-    doc = spark.read.schema(schema).json(path, multiLine=True)
+    doc = spark.read.schema(schema).json(path, multiLine=documents == "whole")
     record = doc.select(F.explode("records").alias("r")).where("coalesce(trim(r.status), '') IN ('', 'bad')")
     named = lambda f, c, e: record.select(F.col(f"r.{f}").alias(c)).union(doc.select(F.explode(e))).where(f"coalesce(trim({c}), '') <> ''").distinct()
     return named("task_id", "task_id", "bad_task_ids"), named("image_name", "image_name", "bad_image_names")
@@ -83,14 +86,9 @@ def read_token_cache(spark: SparkSession, paths: list[str], version: int, finger
     return df
 
 
-def write_manifest(path: str, payload: dict) -> None:
-    """A small JSON document, whole or not at all: written beside its place and renamed."""
-    folder = Path(path).parent
-    folder.mkdir(parents=True, exist_ok=True)
-    handle, name = tempfile.mkstemp(dir=folder)
-    with os.fdopen(handle, "w") as out:
-        json.dump(payload, out, sort_keys=True)
-    os.replace(name, path)
+def write_manifest(spark: SparkSession, path: str, payload: dict) -> None:
+    """A small JSON document, whole or not at all, on any file system that Hadoop knows."""
+    write_json(spark, path, payload)
 
 
 def latest_file(spark: SparkSession, folder: str, pattern: str) -> str | None:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.session import shared_folder
 
@@ -22,10 +24,11 @@ def _drained(writer, spark: SparkSession, checkpoint: str | None) -> None:
 
 
 def first_per_key(stream: DataFrame, keys: list[str], out: str, checkpoint: str | None = None) -> DataFrame:
-    """The first row of each key, appended once whatever arrives later; run again, it only adds what is new."""
-    spark = stream.sparkSession
-    _drained(stream.dropDuplicates(keys).writeStream.format("parquet").outputMode("append").option("path", out), spark, checkpoint)
-    return spark.read.schema(stream.schema).parquet(out)
+    """The first row of each key, appended once whatever arrives later; run again, it only adds what is new.
+
+    The keys seen are those of the table itself, so no state grows with the stream.
+    """
+    return resumed_append(stream, keys, out, checkpoint)
 
 
 def running_counts(stream: DataFrame, time: str, late: str, window: str, keys: list[str], out: str, checkpoint: str | None = None) -> DataFrame:
@@ -53,18 +56,27 @@ def window_counts(stream: DataFrame, time: str, window: str, keys: list[str], ou
     return spark.read.schema(flat).parquet(f"{out}/batch-*").groupBy("start", *keys).agg(F.sum("n").alias("n"))
 
 
-def resumed_append(stream: DataFrame, key: str, out: str, checkpoint: str | None = None) -> DataFrame:
+#: Folders of an appended table by hash of the key; a batch reads the keys of those it falls into.
+BUCKETS = 64
+
+
+def resumed_append(stream: DataFrame, key: str | list[str], out: str, checkpoint: str | None = None) -> DataFrame:
     """Rows whose key isn't in ``out`` yet are appended batch by batch; a repeated batch adds nothing.
 
-    The table of done keys is read in each batch and anti-joined, so a run that
-    broke off resumes where it was.
+    ``out`` is laid out by hash of the key. Each batch is anti-joined with the
+    keys (no other column) in the folders it falls into, so a run that broke off
+    resumes where it was. A null key is a key like others.
     """
-    spark = stream.sparkSession
+    spark, keys = stream.sparkSession, [key] if isinstance(key, str) else key
+    schema = T.StructType([*stream.schema.fields, T.StructField("_bucket", T.IntegerType())])
 
     def append(batch: DataFrame, _: int) -> None:
-        done = batch.sparkSession.read.schema(stream.schema).parquet(out).select(key)
-        batch.dropDuplicates([key]).join(done, key, "left_anti").write.mode("append").parquet(out)
+        fresh = batch.dropDuplicates(keys).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]
+        done = batch.sparkSession.read.schema(schema).parquet(out).where(F.col("_bucket").isin(touched)).select(*(F.col(k).alias(f"_{k}") for k in keys))
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+        fresh.join(done, same, "left_anti").write.mode("append").partitionBy("_bucket").parquet(out)
 
-    spark.createDataFrame([], stream.schema).write.mode("append").parquet(out)
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("_bucket").parquet(out)
     _drained(stream.writeStream.foreachBatch(append), spark, checkpoint)
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(schema).parquet(out).drop("_bucket")

@@ -117,7 +117,7 @@ def test_sources_round_trip(spark, tmp_path):
     for name, body in (("a.json", {"records": [{"task_id": "t", "band": "easy"}]}), ("b.json", {"task_band_by_task_id": {"t": "easy"}}), ("c.json", {"task_bands": {"t": {"band": "easy"}}})):
         (tmp_path / name).write_text(json.dumps(body))
         assert [tuple(r) for r in io.read_bands(spark, str(tmp_path / name)).collect()] == [("t", "easy")]
-    io.write_manifest(str(tmp_path / "m" / "x.json"), {"b": 1})
+    io.write_manifest(spark, str(tmp_path / "m" / "x.json"), {"b": 1})
     assert json.loads((tmp_path / "m" / "x.json").read_text()) == {"b": 1}
     assert io.latest_file(spark, str(tmp_path), "*.json").endswith("x.json")
 
