@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -48,35 +49,22 @@ def tagged_block(text: Column, start: str, end: str) -> Column:
 
 
 def compacted(parts: list[tuple[str, Column, int]], budget: int) -> Column:
-    """struct(text, truncated): the parts joined, cut to ``budget`` words.
+    """struct(text, truncated): the parts joined by empty lines, blank ones left out, or cut to ``budget`` words.
 
     Parts are cut in the order given, each down to its least number of words
     (0: it may go), until all fit; what then is still too long is cut off.
-    The sequence of cuts depends on what is left, so it is done in Python.
     """
-    least = [n for _, _, n in parts]
-
-    @F.pandas_udf("text string, truncated boolean")
-    def cut(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for columns in batches:
-            columns = columns if isinstance(columns, tuple) else (columns,)
-            out = []
-            for texts in zip(*columns):
-                texts = [t if isinstance(t, str) else "" for t in texts]
-                words = [t.split() for t in texts]
-                over = sum(map(len, words)) - budget
-                cut_any = over > 0
-                for k, floor in enumerate(least):
-                    if over <= 0:
-                        break
-                    keep = max(floor, len(words[k]) - over) if len(words[k]) > floor else len(words[k])
-                    over -= len(words[k]) - keep
-                    words[k] = words[k][:keep]
-                flat = [w for ws in words for w in ws][:budget]
-                out.append((" ".join(flat) if cut_any else "\n\n".join(t for t in texts if t.strip()), cut_any))
-            yield pd.DataFrame(out, columns=["text", "truncated"])
-
-    return cut(*(c for _, c, _ in parts))
+    texts = [F.coalesce(c, F.lit("")) for _, c, _ in parts]
+    words = [F.filter(F.split(t, r"\s+"), lambda w: w != "") for t in texts]
+    total = reduce(lambda a, w: a + F.size(w), words, F.lit(0))
+    over, kept = F.greatest(total - budget, F.lit(0)), []
+    for w, (_, _, least) in zip(words, parts):
+        cut = F.least(over, F.greatest(F.size(w) - least, F.lit(0)))
+        kept.append(F.slice(w, F.lit(1), F.size(w) - cut))
+        over = over - cut
+    flat = F.array_join(F.slice(F.concat(*kept), F.lit(1), F.lit(budget)), " ")
+    whole = F.array_join(F.array_compact(F.array(*(F.when(strip(t) != "", t) for t in texts))), "\n\n")
+    return F.struct(F.when(total > budget, flat).otherwise(whole).alias("text"), (total > budget).alias("truncated"))
 
 
 def response_payload(tool_output: Column, head: int = 368, tail: int = 368) -> Column:

@@ -57,7 +57,7 @@ def chosen_turn(df: DataFrame, keys: list[str], order: str, eligible: Column, se
     """Per attempt one eligible turn by a seeded hash, the same on every run; the middle turn where none is eligible."""
     by = Window.partitionBy(*keys)
     ranked = df.withColumns({"_ok": F.coalesce(eligible, F.lit(False)), "_n": F.count("*").over(by), "_k": F.row_number().over(by.orderBy(order)) - 1})
-    some = ranked.groupBy(*keys).agg(F.min_by(order, F.when(F.col("_ok"), F.xxhash64(F.lit(seed), *keys, order))).alias("by_hash"), F.max(F.when(F.col("_k") == F.floor((F.col("_n") - 1) / 2), F.col(order))).alias("middle"))
+    some = ranked.groupBy(*keys).agg(F.min_by(order, F.when(F.col("_ok"), F.sha2(F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*keys, order])), 256))).alias("by_hash"), F.max(F.when(F.col("_k") == F.floor((F.col("_n") - 1) / 2), F.col(order))).alias("middle"))
     return some.select(*keys, F.coalesce("by_hash", "middle").alias(order))
 
 

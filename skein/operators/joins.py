@@ -33,5 +33,5 @@ def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def hashed_sample(df: DataFrame, key: str, seed: int, most: int) -> DataFrame:
     """The rows of ``most`` distinct keys, chosen by a seeded hash: the same on every run."""
-    keys = df.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), key), key).limit(most)
+    keys = df.select(key).distinct().orderBy(F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256), key).limit(most)
     return df.join(F.broadcast(keys), key, "left_semi")

@@ -268,5 +268,5 @@ def node_table(nodes: DataFrame, table_name: str, fields: dict[str, str]) -> Dat
     """The flat table of one array: ``fields`` maps a column to a dotted name in ``attrs``."""
     got = nodes.where(F.col("table_name") == table_name)
     key = nodes.columns[0]
-    picked = [F.expr(f"get_json_object(attrs, '$[\"{path}\"]')").alias(name) for name, path in fields.items()]
+    picked = [F.get_json_object("attrs", f"$['{path}']").alias(name) for name, path in fields.items()]
     return got.select(key, "column_name", "node_path", "parent_path", "position", *picked)

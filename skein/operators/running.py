@@ -36,8 +36,9 @@ def exact_quantile(df: DataFrame, value: str, q: float, by: str | None = None) -
     group = [by] if by else []
     rows = df.select(*group, F.col(value).cast("double").alias("_value"), F.lit(1).alias("_one")).where("_value IS NOT NULL")
     ranked = running_total(rows, [F.col("_value")], "_one", "_rank", by)
-    counts = rows.groupBy(*group).agg(F.count("*").alias("n"), F.max("_value").alias("most")).withColumn("_at", (F.col("n") - 1) * F.lit(q))
-    both = ranked.join(counts, by) if by else ranked.crossJoin(counts)  # one row
+    counts = rows.groupBy(*group).agg(F.count("*").alias("n"), F.max("_value").alias("most"))
+    both = ranked.join(counts, by) if by else ranked.select("*", *(F.lit(x).alias(c) for c, x in counts.first().asDict().items()))
+    both = both.withColumn("_at", (F.col("n") - 1) * F.lit(q))
     at = lambda f: F.max(F.when(F.col("_rank") == f("_at"), F.col("_value")))
     ends = both.groupBy(*group, "n", "most", "_at").agg(at(F.floor).alias("_low"), at(F.ceil).alias("_high"))
     return ends.select(*group, (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))).alias("threshold"), "most", "n")

@@ -110,7 +110,11 @@ def pj22_prompt_sections(spark, sf_dir):
     return table(spark, sf_dir, "rollout_rows").select("rollout_row_id", M.sections(("Task", F.col("prompt")), ("Errors", F.get_json_object("tool_output", "$.stderr"))).alias("prompt"))
 
 
-@query()
+@query("""WITH t AS (SELECT rollout_row_id, coalesce(json_extract_string(tool_output, '$.stderr'), '') AS e, coalesce(assistant_response, '') AS a, coalesce(prompt, '') AS p FROM rollout_rows),
+w AS (SELECT *, list_filter(regexp_split_to_array(e, '\\s+'), lambda x: x <> '') AS we, list_filter(regexp_split_to_array(a, '\\s+'), lambda x: x <> '') AS wa, list_filter(regexp_split_to_array(p, '\\s+'), lambda x: x <> '') AS wp FROM t),
+n AS (SELECT *, greatest(len(we) + len(wa) + len(wp) - 60, 0) AS over0 FROM w), c0 AS (SELECT *, least(over0, len(we)) AS ce FROM n), c1 AS (SELECT *, least(over0 - ce, greatest(len(wa) - 16, 0)) AS ca FROM c0), c2 AS (SELECT *, least(over0 - ce - ca, greatest(len(wp) - 24, 0)) AS cp FROM c1)
+SELECT rollout_row_id, CASE WHEN over0 > 0 THEN array_to_string(list_concat(list_concat(we[:len(we) - ce], wa[:len(wa) - ca]), wp[:len(wp) - cp])[:60], ' ')
+  ELSE concat_ws(chr(10) || chr(10), CASE WHEN len(we) > 0 THEN e END, CASE WHEN len(wa) > 0 THEN a END, CASE WHEN len(wp) > 0 THEN p END) END AS text, over0 > 0 AS truncated FROM c2""")
 def pj23_compacted_prompts(spark, sf_dir):
     parts = [("errors", F.get_json_object("tool_output", "$.stderr"), 0), ("answer", F.col("assistant_response"), 16), ("task", F.col("prompt"), 24)]
     return table(spark, sf_dir, "rollout_rows").select("rollout_row_id", M.compacted(parts, 60).alias("c")).select("rollout_row_id", "c.*")
@@ -160,7 +164,7 @@ def jn01_merge_by_row(spark, sf_dir):
     return J.merge_by_row(r, k, "rollout_row_id").drop("task_id")
 
 
-@query()
+@query("""WITH k AS (SELECT DISTINCT user_id FROM events ORDER BY sha256('7|' || user_id), user_id LIMIT 20) SELECT user_id, event_id FROM events WHERE user_id IN (SELECT user_id FROM k)""")
 def sl14_hashed_sample(spark, sf_dir):
     return J.hashed_sample(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", 7, 20)
 

@@ -57,5 +57,8 @@ ORACLE = {
 SELECT p.step_index, n, tasks, resolved, latency, top_family FROM (SELECT step_index, count(*) AS n, count(DISTINCT task_id) AS tasks, count(*) FILTER (coalesce(resolved, false)) AS resolved, avg(latency_ms) AS latency FROM rollout_rows GROUP BY 1) p JOIN t USING (step_index)""",
     "pj29_patch_memory": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i) AS j FROM n WHERE i <= 40 AND event_type = 'purchase' AND event_id % 3 = 0)
 SELECT u.user_id, coalesce(string_agg(j || '. ' || event_id, chr(10) ORDER BY j), '') AS memory FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN k ON k.user_id = u.user_id GROUP BY 1""",
+    "sl11_chosen_turn": """WITH t AS (SELECT task_id, attempt_index, turn_index, count(tool_output) > 0 AS ok, count(*) OVER (PARTITION BY task_id, attempt_index) AS n, row_number() OVER (PARTITION BY task_id, attempt_index ORDER BY turn_index) - 1 AS k
+  FROM turn_messages WHERE task_id IS NOT NULL AND attempt_index IS NOT NULL AND turn_index IS NOT NULL GROUP BY task_id, attempt_index, turn_index)
+SELECT task_id, attempt_index, coalesce(arg_min(turn_index, sha256(concat_ws('|', '7', task_id, attempt_index, turn_index))) FILTER (ok), max(turn_index) FILTER (k = (n - 1) // 2)) AS turn_index FROM t GROUP BY ALL""",
     "jn11_merged_truth": "SELECT rollout_row_id, coalesce(task_family, truth) AS family FROM rollout_rows LEFT JOIN (SELECT task_id, min(task_family) AS truth FROM task_rows WHERE task_id IS NOT NULL GROUP BY 1) USING (task_id)",
 }

@@ -213,3 +213,35 @@ def test_search_and_lines(spark):
     part = values(spark, X.line_range(F.lit("a\nb\nc\nd"), 2, 3, 5, 100))
     assert part.text == "       2\tb\n       3\tc" and not part.truncated
     assert values(spark, X.line_range(F.lit("a\nb\nc\nd"), 1, 4, 2, 100)).truncated and values(spark, X.line_range(F.lit("abcdef"), 1, 1, 1, 10)).text == "       1\ta"
+
+
+def test_quantiles_slices_and_codes(spark, tmp_path):
+    import statistics
+
+    from skein.functions import coerce as C
+    from skein.operators import pool as P
+    from skein.operators.nested import nested_nodes, node_table
+    from skein.operators.running import exact_quantile
+    from skein.sources import io
+
+    rows = [(g, float((i * 37) % 101)) for g, n in (("a", 40), ("b", 7), (None, 5)) for i in range(n)] + [("c", None), ("d", 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r.threshold for r in exact_quantile(df, "v", 0.8, "g").collect()}
+    at = lambda xs: statistics.quantiles(xs, n=5, method="inclusive")[3] if len(xs) > 1 else xs[0]
+    for g in ("a", "b", "d"):
+        assert abs(got[g] - at([v for h, v in rows if h == g])) < 1e-9
+    assert "c" not in got and abs(exact_quantile(df, "v", 0.8).first().threshold - at([v for _, v in rows if v is not None])) < 1e-9
+    assert [r.id for r in P.row_slice(spark.range(20), ["id"], 3, 6).collect()] == [3, 4, 5] and P.row_slice(spark.range(2), ["id"], 3, 6).count() == 0
+    for text, want in (("true", 1), ("False", 0), ("2.0", 2), (" 3 ", 3), ("2.5", None), ("x", None), (None, None)):
+        assert values(spark, C.exit_code(F.lit(text).cast("string"))) == want
+    (tmp_path / "rows.jsonl").write_text('{"a": 1}\n\nnope\n[2]\n{"a"\n{"a": 3}\n')
+    assert io.malformed(spark, str(tmp_path / "rows.jsonl")) == 3
+    nodes = nested_nodes(spark.createDataFrame([(1, '{"e": [{"path": "x", "in": {"k": 2}}]}')], "record_id long, j string"), ["j"])
+    assert tuple(node_table(nodes, "e", {"path": "path", "k": "in.k"}).select("path", "k").first()) == ("x", "2")
+
+
+def test_compacted_prompts(spark):
+    part = lambda *p: values(spark, M.compacted([(n, F.lit(t).cast("string"), k) for n, t, k in p], 5))
+    assert tuple(part(("a", "x y", 0), ("b", None, 0), ("c", " ", 1))) == ("x y", False)
+    assert tuple(part(("a", "1 2 3", 0), ("b", "4 5 6 7", 2))) == ("1 4 5 6 7", True)
+    assert tuple(part(("a", "1 2 3", 3), ("b", "4 5 6 7", 4))) == ("1 2 3 4 5", True)
