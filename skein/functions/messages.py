@@ -140,3 +140,24 @@ def tool_messages(blocks: Column) -> Column:
     """A user message per tool block that isn't blank, trimmed."""
     kept = F.filter(F.transform(blocks, strip), lambda b: F.coalesce(b, F.lit("")) != "")
     return F.transform(kept, lambda b: F.struct(F.lit("user").alias("role"), b.alias("content")))
+
+
+def content_text(content: Column) -> Column:
+    """A message's content as text: a string as it is, a JSON list as its texts and scalars joined by line breaks, blank ones left out."""
+    listed = F.from_json(F.when(strip(content).startswith("["), content), "array<string>")
+    texts = F.transform(listed, lambda x: strip(F.when(x.startswith("{"), F.get_json_object(x, "$.text")).otherwise(x)))
+    return F.coalesce(F.array_join(F.filter(texts, lambda x: F.coalesce(x, F.lit("")) != ""), "\n"), content)
+
+
+def generation_messages(system: Column, user: Column, history: Column) -> Column:
+    """System, user and history as messages; a tool-response block of valid JSON becomes the user's, others keep their role."""
+    opening, closing = "<tool_response>", "</tool_response>"
+
+    def entry(m):
+        text = strip(m["content"])
+        inner = strip(F.substr(text, F.lit(len(opening) + 1), F.length(text) - len(opening) - len(closing)))
+        block = text.startswith(opening) & text.endswith(closing) & F.get_json_object(inner, "$").isNotNull()
+        return F.when(F.coalesce(block, F.lit(False)), F.struct(F.lit("user").alias("role"), F.concat(F.lit("Tool response:\n"), inner).alias("content"))).otherwise(F.struct(m["role"].alias("role"), m["content"].alias("content")))
+
+    first = F.array(*(F.struct(F.lit(role).alias("role"), c.alias("content")) for role, c in (("system", system), ("user", user))))
+    return F.concat(first, F.transform(history, entry))

@@ -245,3 +245,8 @@ def call_flags(text: Column, most: int = 1) -> Column:
         (parsed & F.forall(bodies, complete)).alias("required_args"),
         (tags("<think>") == tags("</think>")).alias("think_balanced"),
     )
+
+
+def xml_schema(tool: str) -> list[tuple[str, str, bool, str | None]]:
+    """The arguments of a tool as XML: name, kind, whether it is required, and the tag of a list's items, in the order of the registry."""
+    return [(name, kind, required, "item" if kind == "list" else None) for name, (kind, required, *_) in TOOLS[RENAMED.get(tool, tool)].items()]

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import arrays as A
@@ -209,3 +209,59 @@ def loss_series(lines: DataFrame, text: str, run: list[str]) -> DataFrame:
         F.min_by("step", F.struct("loss", "step")).alias("least_step"),
     )
     return per.withColumn("delta", F.col("last") - F.col("first"))
+
+
+def load_tasks(spark: SparkSession, loader: Callable[[SparkSession, str, str], DataFrame], dataset: str, split: str, label: str) -> DataFrame:
+    """The typed tasks of what a loader gives for a dataset and a split."""
+    return task_rows(loader(spark, dataset, split), label)
+
+
+def turn_blocks(messages: DataFrame, keys: list[str], order: str, role: str, text: str) -> DataFrame:
+    """Per assistant entry, numbered from 0, its text and the tool blocks that follow it; blocks before the first belong to none."""
+    by = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    said = F.col(role) == "assistant"
+    placed = messages.withColumn("_turn", F.sum(F.coalesce(said, F.lit(False)).cast("long")).over(by) - 1).where("_turn >= 0")
+    blocks = F.sort_array(F.collect_list(F.when(F.col(role) == "tool", F.struct(F.col(order).alias("o"), F.col(text).alias("t")))))
+    return placed.groupBy(*keys, F.col("_turn").alias("turn")).agg(F.max(F.when(said, F.col(text))).alias("assistant"), F.transform(blocks, lambda b: b["t"]).alias("blocks"))
+
+
+def feedback_signal(tool_output: Column, blocks: Column) -> Column:
+    """Whether there is anything to learn from: output, an exit code that isn't zero, another field that isn't empty, or tool blocks."""
+    fields = F.from_json(tool_output, "map<string,string>")
+    filled = lambda k, v: (F.coalesce(strip(v), F.lit("")) != "") & ~((k != "stdout") & (k != "stderr") & v.isin("[]", "{}", "false", "0"))
+    told = F.exists(F.map_entries(fields), lambda e: F.when(e["key"] == "exit_code", F.coalesce(e["value"].cast("string"), F.lit("0")) != "0").otherwise(filled(e["key"], e["value"])))
+    return F.coalesce(told, F.lit(False)) | (F.coalesce(F.size(blocks), F.lit(0)) > 0)
+
+
+def first_seen(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """(kind, value, first): every distinct value of each column and where it stands first, for lists in order of appearance; one pass, one shuffle."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in columns)))
+    return df.select(order, pairs.alias("p")).where("p.value IS NOT NULL").groupBy("p.kind", "p.value").agg(F.min(order).alias("first"))
+
+
+def histogram(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """Per key the counts of a column's values as ``name:count`` in the order of names; a missing value is ``none``."""
+    counted = df.groupBy(*keys, F.coalesce(F.col(value).cast("string"), F.lit("none")).alias("v")).agg(F.count("*").alias("n"))
+    return counted.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("v", "n"))), lambda e: F.concat(e["v"], F.lit(":"), e["n"].cast("string"))), ",").alias(out))
+
+
+def step_report(df: DataFrame, step: str, selected: Column, held_out: Column, text: str, histograms: list[str]) -> DataFrame:
+    """Per step the rows, those selected, those held out and of these selected, the mean length in words, and a histogram of each column."""
+    words = F.size(F.split(strip(F.coalesce(F.col(text), F.lit(""))), r"\s+"))
+    on = lambda c: F.coalesce(c, F.lit(False))
+    out = df.groupBy(step).agg(F.count("*").alias("n"), F.count_if(on(selected)).alias("selected"), F.count_if(on(held_out)).alias("held_out"), F.count_if(on(held_out) & on(selected)).alias("held_out_selected"), F.avg(F.when(F.col(text).isNotNull(), words)).alias("mean_words"))
+    for c in histograms:
+        out = out.join(histogram(df, [step], c, f"{c}_counts").withColumnRenamed(step, "_step"), F.col(step).eqNullSafe(F.col("_step"))).drop("_step")
+    return out
+
+
+def merged_map(truth: Column, extra: Column) -> Column:
+    """The entries of both maps, ``extra``'s winning wherever it has the key, null or not."""
+    empty = F.create_map().cast("map<string,string>")
+    own = F.coalesce(extra, empty)
+    return F.map_concat(F.map_filter(F.coalesce(truth, empty), lambda k, _: ~F.map_contains_key(own, k)), own)
+
+
+def attempt_resolved(terminal: Column, exit_codes: Column) -> Column:
+    """An attempt is resolved if it ended by itself, has steps, and every step's exit code is zero."""
+    return F.coalesce(terminal, F.lit(False)) & (F.coalesce(F.size(exit_codes), F.lit(0)) > 0) & F.forall(F.coalesce(exit_codes, F.array().cast("array<int>")), lambda c: F.coalesce(c == 0, F.lit(False)))

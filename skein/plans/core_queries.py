@@ -289,10 +289,13 @@ def fl09_turn_flags(spark, sf_dir):
     return table(spark, sf_dir, "turn_messages").select("message_id", TC.call_flags(F.col("assistant_response"), 2).alias("f")).select("message_id", "f.*")
 
 
-@query(f"""WITH {_TASKS}, e AS (SELECT *, CASE WHEN len(f) = 0 THEN 'no fail_to_pass' WHEN len(p) = 0 THEN 'no pass_to_pass' WHEN list_has_any(f, p) THEN 'overlap' END AS err, {_IDENTITY} AS identity FROM tasks),
+_POOL_SQL = f"""WITH {_TASKS}, e AS (SELECT *, CASE WHEN len(f) = 0 THEN 'no fail_to_pass' WHEN len(p) = 0 THEN 'no pass_to_pass' WHEN list_has_any(f, p) THEN 'overlap' END AS err, {_IDENTITY} AS identity FROM tasks),
 bt AS (SELECT DISTINCT task_id FROM rollout_rows WHERE verifier_status = 'invalid' AND exit_code = 2), bi AS (SELECT DISTINCT image_name FROM rollout_rows WHERE latency_ms > 2000),
 m AS (SELECT e.*, coalesce(err, CASE WHEN task_id IN (SELECT task_id FROM bt WHERE task_id IS NOT NULL) THEN 'bad_task' WHEN image_name IN (SELECT image_name FROM bi WHERE image_name IS NOT NULL) THEN 'bad_image' END) AS early FROM e)
-SELECT task_row_id, coalesce(early, CASE WHEN row_number() OVER (PARTITION BY identity, early IS NULL ORDER BY task_row_id) > 1 THEN 'duplicate' END) AS reason FROM m""")
+SELECT task_row_id, coalesce(early, CASE WHEN row_number() OVER (PARTITION BY identity, early IS NULL ORDER BY task_row_id) > 1 THEN 'duplicate' END) AS reason FROM m"""
+
+
+@query(_POOL_SQL)
 def fl05_task_pool(spark, sf_dir):
     r = table(spark, sf_dir, "rollout_rows")
     t = _tasks(spark, sf_dir).withColumn("row_index", F.col("task_row_id"))
@@ -303,6 +306,12 @@ def fl05_task_pool(spark, sf_dir):
     return got.select("task_row_id", "reason")
 
 
+@query(f"SELECT coalesce(reason, 'kept') AS reason, count(*) AS n, min(task_row_id) AS first FROM ({_POOL_SQL}) GROUP BY 1")
+def fl05_pool_counts(spark, sf_dir):
+    """How many tasks each reason drops, and the first of them."""
+    return fl05_task_pool(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.min("task_row_id").alias("first"))
+
+
 _RULES = [("func_", "learnable"), ("func_pm_", "easy"), ("lm_modify", "near_impossible")]
 
 

@@ -211,3 +211,78 @@ SELECT count(*) AS n, sha256(string_agg(x, '' ORDER BY task_row_id)) AS digest F
 def sf30_pool_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
     return G.pool_fingerprint(table(spark, sf_dir, "task_rows").withColumns({"f": none, "p": none}), "task_row_id", ["task_id", "task_family", "image_name", "problem_statement"], ["f", "p"])
+
+
+_SPOKEN = """SELECT message_id, task_id, attempt_index, turn_index, CASE WHEN assistant_response IS NOT NULL THEN 'assistant' WHEN tool_output IS NOT NULL THEN 'tool' ELSE 'user' END AS role, coalesce(assistant_response, tool_output, prompt) AS t
+  FROM turn_messages WHERE task_id IS NOT NULL AND attempt_index IS NOT NULL"""
+
+
+@query(f"""WITH m AS ({_SPOKEN}), w AS (SELECT *, sum((role = 'assistant')::INT) OVER (PARTITION BY task_id, attempt_index ORDER BY turn_index NULLS FIRST, message_id ROWS UNBOUNDED PRECEDING) - 1 AS turn FROM m)
+SELECT task_id, attempt_index, turn::BIGINT AS turn, md5(max(t) FILTER (role = 'assistant')) AS said_md5, md5(coalesce(string_agg(t, '|' ORDER BY turn_index NULLS FIRST, message_id) FILTER (role = 'tool'), '')) AS blocks_md5 FROM w WHERE turn >= 0 GROUP BY task_id, attempt_index, turn""")
+def pj30_turn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "turn_messages").where("task_id IS NOT NULL AND attempt_index IS NOT NULL")
+    role = F.when(F.col("assistant_response").isNotNull(), "assistant").when(F.col("tool_output").isNotNull(), "tool").otherwise("user")
+    rows = m.select("task_id", "attempt_index", F.struct("turn_index", "message_id").alias("place"), role.alias("role"), F.coalesce("assistant_response", "tool_output", "prompt").alias("t"))
+    got = R.turn_blocks(rows, ["task_id", "attempt_index"], "place", "role", "t")
+    return got.select("task_id", "attempt_index", "turn", F.md5("assistant").alias("said_md5"), F.md5(F.array_join("blocks", "|")).alias("blocks_md5"))
+
+
+@query(f"""SELECT rollout_row_id, coalesce(trim(json_extract_string(tool_output, '$.stdout'), {_BLANK}) <> '', false) OR coalesce(trim(json_extract_string(tool_output, '$.stderr'), {_BLANK}) <> '', false)
+  OR coalesce(json_extract_string(tool_output, '$.exit_code') <> '0', false) OR coalesce(contains(assistant_response, '<tool_call>'), false) AS signal FROM rollout_rows""")
+def pj27_feedback_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = F.regexp_extract_all("assistant_response", F.lit("<tool_call>"), F.lit(0))
+    return table(spark, sf_dir, "rollout_rows").select("rollout_row_id", R.feedback_signal(F.col("tool_output"), blocks).alias("signal"))
+
+
+@query("""SELECT 'task_id' AS kind, task_id AS value, min(rollout_row_id) AS first FROM rollout_rows WHERE task_id IS NOT NULL GROUP BY 2 UNION ALL SELECT 'image_name', image_name, min(rollout_row_id) FROM rollout_rows WHERE image_name IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'pair', task_id || '|' || image_name, min(rollout_row_id) FROM rollout_rows WHERE task_id IS NOT NULL AND image_name IS NOT NULL GROUP BY 2""")
+def ag05_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "rollout_rows").withColumn("pair", F.concat("task_id", F.lit("|"), "image_name"))
+    return R.first_seen(r, ["task_id", "image_name", "pair"], "rollout_row_id")
+
+
+_HIST = lambda c: f"(SELECT step_index, string_agg(v || ':' || n, ',' ORDER BY v) AS h FROM (SELECT step_index, coalesce({c}, 'none') AS v, count(*) AS n FROM rollout_rows GROUP BY ALL) GROUP BY 1)"
+
+
+@query(f"""WITH p AS (SELECT step_index, count(*) AS n, count(*) FILTER (resolved) AS selected, count(*) FILTER (stage = 'turn_sdpo') AS held_out, count(*) FILTER (stage = 'turn_sdpo' AND resolved) AS held_out_selected,
+  avg(len(regexp_split_to_array(trim(assistant_response, {_BLANK}), '\\s+'))) AS mean_words FROM rollout_rows GROUP BY 1)
+SELECT p.*, f.h AS task_family_counts, b.h AS difficulty_band_counts FROM p JOIN {_HIST("task_family")} f ON f.step_index IS NOT DISTINCT FROM p.step_index JOIN {_HIST("difficulty_band")} b ON b.step_index IS NOT DISTINCT FROM p.step_index""")
+def ag07_step_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.step_report(table(spark, sf_dir, "rollout_rows"), "step_index", F.col("resolved"), F.col("stage") == "turn_sdpo", "assistant_response", ["task_family", "difficulty_band"])
+
+
+@query("""SELECT rollout_row_id, CASE WHEN tool_output IS NOT NULL THEN json_extract_string(tool_output, '$.exit_code') ELSE exit_code::VARCHAR END AS exit_code, stage, CASE WHEN tool_output IS NOT NULL THEN 4 ELSE 2 END AS n_keys FROM rollout_rows""")
+def jn11_merged_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recorded fields, overridden by those of the tool's output."""
+    merged = R.merged_map(F.create_map(F.lit("exit_code"), F.col("exit_code").cast("string"), F.lit("stage"), F.col("stage")), F.from_json("tool_output", "map<string,string>"))
+    got = table(spark, sf_dir, "rollout_rows").select("rollout_row_id", merged.alias("m"))
+    return got.select("rollout_row_id", F.col("m")["exit_code"].alias("exit_code"), F.col("m")["stage"].alias("stage"), F.size("m").alias("n_keys"))
+
+
+@query("""SELECT task_id, attempt_index, bool_and(coalesce(exit_code = 0, false)) AND coalesce(bool_or(contains(assistant_response, '<tool_call>')), false) AS resolved FROM rollout_rows WHERE task_id IS NOT NULL GROUP BY ALL""")
+def ux04_resolved_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "rollout_rows").where("task_id IS NOT NULL")
+    # collect_list leaves nulls out, so they travel as -1
+    per = r.groupBy("task_id", "attempt_index").agg(F.collect_list(F.coalesce("exit_code", F.lit(-1))).alias("codes"), F.bool_or(F.col("assistant_response").contains("<tool_call>")).alias("terminal"))
+    return per.select("task_id", "attempt_index", R.attempt_resolved(F.col("terminal"), F.col("codes")).alias("resolved"))
+
+
+@query(f"""SELECT message_id, concat_ws(chr(10), nullif(trim(prompt, {_BLANK}), ''), nullif(trim(assistant_response, {_BLANK}), ''), 'end') AS text FROM turn_messages""")
+def sf33_content_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content lists of text parts and a scalar, read as text."""
+    part = lambda c: F.to_json(F.struct(F.coalesce(F.col(c), F.lit("")).alias("text")))
+    content = F.concat(F.lit("["), part("prompt"), F.lit(","), part("assistant_response"), F.lit(',"end"]'))
+    return table(spark, sf_dir, "turn_messages").select("message_id", M.content_text(content).alias("text"))
+
+
+@query(f"""SELECT rollout_row_id, 'system:Rules.|user:' || coalesce(prompt, '') || '|' || CASE WHEN json_valid(tool_output) THEN 'user:Tool response:' || chr(10) || tool_output ELSE 'tool:<tool_response>' || coalesce(tool_output, '') || '</tool_response>' END AS text FROM rollout_rows""")
+def pj17_generation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block = F.concat(F.lit("<tool_response>"), F.coalesce("tool_output", F.lit("")), F.lit("</tool_response>"))
+    got = M.generation_messages(F.lit("Rules."), F.coalesce("prompt", F.lit("")), F.array(F.struct(F.lit("tool").alias("role"), block.alias("content"))))
+    return table(spark, sf_dir, "rollout_rows").select("rollout_row_id", F.array_join(F.transform(got, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|").alias("text"))
+
+
+@query("""SELECT * FROM (VALUES ('bash', 'command', 'str', true, NULL), ('bash', 'cwd', 'str', false, NULL), ('bash', 'timeout_sec', 'int', false, NULL), ('read', 'path', 'str', true, NULL), ('read', 'start_line', 'int', false, NULL), ('read', 'end_line', 'int', false, NULL),
+  ('submit', 'final_response', 'str', true, NULL), ('submit', 'changed_paths', 'list', false, 'item')) AS t(tool, name, kind, required, item)""")
+def pj07_xml_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(tool, *arg) for tool in ("bash", "read", "submit") for arg in TC.xml_schema(tool)], "tool string, name string, kind string, required boolean, item string")

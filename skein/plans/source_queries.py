@@ -205,3 +205,28 @@ def in03_same_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = cut(now)
     G.same_key_set(stored, now, "task_id")
     return stored.agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('t1', 'pytest', 'easy'), ('t2', NULL, 'easy'), ('t3', 'pytest', 'hard')) AS t(task_id, kind, band)")
+def sc02_replayed_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list in memory with defaults for keys that are absent."""
+    return io.replayed(spark, [{"task_id": "t1"}, {"task_id": "t2", "kind": None}, {"task_id": "t3", "band": "hard"}], "task_id string, kind string, band string", {"kind": "pytest", "band": "easy"})
+
+
+@query("SELECT event_type, 2 * count(*) AS n, 2 * count(value) AS n_values FROM events GROUP BY 1")
+def sc12_appended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metric log appended to twice."""
+    where, e = _place(spark), table(spark, sf_dir, "events").select("event_type", "value")
+    for _ in range(2):
+        io.append_jsonl(e, where)
+    return io.read_rows(spark, where, e.schema).groupBy("event_type").agg(F.count("*").alias("n"), F.count("value").alias("n_values"))
+
+
+@query("SELECT count(DISTINCT task_id) AS done, count(DISTINCT task_id) + 1 AS expected, 'partial' AS status FROM task_rows WHERE task_id IS NOT NULL")
+def sc14_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records added in two overlapping runs, with the header of the second."""
+    where, t = _place(spark), table(spark, sf_dir, "task_rows").where("task_id IS NOT NULL").select("task_id")
+    expected = t.distinct().count() + 1
+    commits.append_progress(t.where(F.length("task_id") % 2 == 0), "task_id", where, expected)
+    header = commits.append_progress(t, "task_id", where, expected)
+    return spark.createDataFrame([(header["done"], header["expected"], header["status"])], "done long, expected long, status string")

@@ -138,3 +138,15 @@ def write_token_cache(df: DataFrame, path: str, version: int, fingerprint: str)
     from pyspark.sql import functions as F
 
     df.withColumns({"cache_schema_version": F.lit(version), "cache_fingerprint": F.lit(fingerprint)}).write.mode("overwrite").parquet(path)
+
+
+def append_progress(done: DataFrame, key: str, folder: str, expected: int) -> dict:
+    """Add the records whose key isn't there yet, then write the header that says how far the run is; a repeated call adds nothing."""
+    spark, table, schema = done.sparkSession, f"{folder}/records", done.schema
+    spark.createDataFrame([], schema).write.mode("append").parquet(table)
+    held = spark.read.schema(schema).parquet(table)
+    done.dropDuplicates([key]).join(held.select(key), key, "left_anti").write.mode("append").parquet(table)
+    n = spark.read.schema(schema).parquet(table).count()
+    header = {"done": n, "expected": expected, "status": "complete" if n >= expected else "partial"}
+    write_json(spark, f"{folder}/progress.json", header)
+    return header

@@ -67,6 +67,16 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
     df.select(*sorted(df.columns)).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def append_jsonl(df: DataFrame, path: str) -> None:
+    """Lines added to a log that is only ever appended to."""
+    write_jsonl(df, path, "append")
+
+
+def replayed(spark: SparkSession, rows: list[dict], schema: str, defaults: dict) -> DataFrame:
+    """A list in memory as a source; a key that a row lacks takes its default, one that is there and null stays null."""
+    return spark.createDataFrame([defaults | row for row in rows], schema)
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "error") -> None:
     """Snappy Parquet; an empty frame is an error, as nothing could be trained on it."""
     if df.isEmpty():

@@ -245,3 +245,38 @@ def test_compacted_prompts(spark):
     assert tuple(part(("a", "x y", 0), ("b", None, 0), ("c", " ", 1))) == ("x y", False)
     assert tuple(part(("a", "1 2 3", 0), ("b", "4 5 6 7", 2))) == ("1 4 5 6 7", True)
     assert tuple(part(("a", "1 2 3", 3), ("b", "4 5 6 7", 4))) == ("1 2 3 4 5", True)
+
+
+def test_blocks_histories_and_merges(spark):
+    rows = [("a", 0, "tool", "early"), ("a", 1, "assistant", "one"), ("a", 2, "tool", "x"), ("a", 3, "tool", "y"), ("a", 4, "user", "u"), ("a", 5, "assistant", None), ("b", 0, None, "z")]
+    df = spark.createDataFrame(rows, "k string, o int, role string, t string")
+    got = {(r.k, r.turn): (r.assistant, r.blocks) for r in R.turn_blocks(df, ["k"], "o", "role", "t").collect()}
+    assert got == {("a", 0): ("one", ["x", "y"]), ("a", 1): (None, [])}
+    of = lambda t, b=None: values(spark, R.feedback_signal(F.lit(t).cast("string"), F.lit(b).cast("array<string>")))
+    assert of('{"stdout": "x"}') and of('{"exit_code": 1}') and of('{"exit_code": 0, "metadata": {"a": 1}}') and of(None, ["b"])
+    assert not of('{"stdout": " ", "exit_code": 0, "metadata": {}}') and not of(None) and not of("broken")
+    merge = lambda a, b: values(spark, R.merged_map(F.from_json(F.lit(a), "map<string,string>"), F.from_json(F.lit(b).cast("string"), "map<string,string>")))
+    assert merge('{"a": "1", "b": "2"}', '{"b": null, "c": "3"}') == {"a": "1", "b": None, "c": "3"} and merge('{"a": "1"}', None) == {"a": "1"}
+    solved = lambda t, c: values(spark, R.attempt_resolved(F.lit(t).cast("boolean"), F.lit(c).cast("array<int>")))
+    assert solved(True, [0, 0]) and not solved(True, [0, 1]) and not solved(True, []) and not solved(None, [0]) and not solved(True, None)
+    counts = R.histogram(df, ["k"], "role", "h").collect()
+    assert {r.k: r.h for r in counts} == {"a": "assistant:2,tool:3,user:1", "b": "none:1"}
+    assert R.first_seen(df, ["role"], "o").where("value = 'tool'").first().first == 0
+    assert R.load_tasks(spark, lambda s, d, p: s.createDataFrame([(d, p, "i", "s", "a", "b")], "task_id string, part string, image_name string, problem_statement string, fail_to_pass string, pass_to_pass string"), "d", "train", "pytest").first().error is None
+
+
+def test_contents_and_histories(spark):
+    text = lambda c: values(spark, M.content_text(F.lit(c).cast("string")))
+    assert text("plain") == "plain" and text('[{"text": " a "}, "b", 3, {"type": "image"}, " "]') == "a\nb\n3" and text(None) is None
+    history = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(c).alias("content")) for r, c in (("assistant", "hi"), ("tool", '<tool_response>\n{"a": 1}\n</tool_response>'), ("tool", "<tool_response>no</tool_response>"))))
+    got = [(m.role, m.content) for m in values(spark, M.generation_messages(F.lit("s"), F.lit("u"), history))]
+    assert got == [("system", "s"), ("user", "u"), ("assistant", "hi"), ("user", 'Tool response:\n{"a": 1}'), ("tool", "<tool_response>no</tool_response>")]
+    assert TC.xml_schema("answer")[1] == ("changed_paths", "list", False, "item")
+
+
+def test_progress_is_added_once(spark, tmp_path):
+    folder = f"file://{tmp_path}/p"
+    some = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    assert K.append_progress(some, "k", folder, 3) == {"done": 2, "expected": 3, "status": "partial"}
+    assert K.append_progress(some.union(spark.createDataFrame([("c", 3)], "k string, v int")), "k", folder, 3)["status"] == "complete"
+    assert K.read_json(spark, f"{folder}/progress.json")["done"] == 3
