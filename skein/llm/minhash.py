@@ -13,6 +13,8 @@ from skein.llm.splits import contract
 from skein.session import cut
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 6
+#: Parts of a bucket.
+SALTS = 16
 _PRIME = (1 << 31) - 1
 
 
@@ -52,7 +54,8 @@ def clusters(texts: DataFrame) -> DataFrame:
 
     In each band's bucket a text is compared with the bucket's smallest member
     and with its neighbour in the order of the next band's hashes, so a bucket
-    of k texts gives fewer than 2 k comparisons. Members of a bucket that are then
+    of k texts gives fewer than 2 k comparisons; a bucket is ordered in SALTS
+    parts, those of equal hashes together, so a large one isn't one task. Members of a bucket that are then
     still in different clusters are all compared, so no verified link of two
     texts with a common bucket is lost. Clusters are the components of the
     verified links; a text without any is a cluster of its own.
@@ -61,8 +64,10 @@ def clusters(texts: DataFrame) -> DataFrame:
     sets = banded.select("digest", "shingles")
     following = F.concat(F.slice("bands", 2, BANDS), F.slice("bands", 1, 1))
     spread = banded.select("digest", F.explode(F.arrays_zip(F.col("bands").alias("band"), following.alias("key"))).alias("b")).select("digest", "b.band", "b.key")
-    bucket = Window.partitionBy("band").orderBy("key", "digest")
-    near = spread.select("digest", F.lag("digest").over(bucket).alias("before"), F.first("digest").over(bucket).alias("head"))
+    heads = spread.groupBy("band").agg(F.min("digest").alias("head"), F.count("*").alias("k")).where("k > 1").drop("k")
+    spread = cut(spread.join(heads, "band"))
+    part = Window.partitionBy("band", F.pmod(F.xxhash64("key"), F.lit(SALTS))).orderBy("key", "digest")
+    near = spread.select("digest", F.lag("digest").over(part).alias("before"), "head")
     pairs = near.select("digest", F.explode(F.array("before", "head")).alias("other_digest")).where("other_digest <> digest").select(F.least("digest", "other_digest").alias("a"), F.greatest("digest", "other_digest").alias("b")).distinct()
     own = texts.select("digest", F.col("digest").cast("string").alias("vertex"))
     first = cut(own.join(contract(_links(pairs, sets)), "vertex", "left").select("digest", F.coalesce("label", "vertex").alias("cluster")))
