@@ -74,3 +74,19 @@ def test_documents_with_copies_nulls_and_long_texts(spark):
     assert sorted((r.doc_id, r.item_id, r.words) for r in L.leaks(docs, items).collect()) == [(1, 7, 60), (2, 7, 60), (5, 7, 60)]
     assert L.leaks(docs, items.limit(0)).count() == 0 and L.leaks(docs.limit(0), items).count() == 0
     assert {r.doc_id for r in L.without_leaks(docs, L.leaks(docs, items)).collect()} == {3, 4, 6}
+
+
+def test_long_tags_places_blocks_and_slices(spark, monkeypatch):
+    """A tag of any length breaks no passage; places are those of the longest run; slices and blocks change nothing."""
+    words = [f"word{i}" for i in range(60)]
+    tag = '<span title="' + "y" * 5_000 + '">'
+    docs = [(d, "pre fix " + " ".join(words[:20]) + f" {tag} " + " ".join(words[20:40]) + " post", "x") for d in range(20)] + [(90, " ".join(words[10:55]), "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, other string").repartition(3)
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "other " + " ".join(words[5:]))], "item_id long, text string")
+    found = lambda: sorted(tuple(r) for r in L.leaks(df, items).select("doc_id", "item_id", "words", "item_word", "doc_word").collect())
+    whole = found()
+    assert [r for r in whole if r[0] == 0] == [(0, 1, 40, 0, 2), (0, 2, 35, 1, 7)] and (90, 1, 45, 10, 0) in whole and len(whole) == 42
+    monkeypatch.setattr(L, "SLICE", 7)
+    assert found() == whole
+    monkeypatch.setattr(L, "BLOCK_CHARS", 300)
+    assert found() == whole

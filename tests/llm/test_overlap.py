@@ -51,3 +51,22 @@ def test_report_and_empty(spark):
     got = {(r.split, r.repository): (r.held_rows, r.overlapping, r.exact) for r in O.overlap_report(df).collect()}
     assert got == {("test", "o/n"): (1, 1, 1), ("eval", "o/n"): (1, 0, 0)}
     assert O.overlaps(df.limit(0)).count() == 0
+
+
+def test_one_template_for_all(spark):
+    """Statements that share all their words but a few: the hot keys lose no pair and find no other, whatever the lengths."""
+    rng = random.Random(9)
+    frame = [f"frame{i}" for i in range(24)]
+    rows = []
+    for i in range(160):
+        own = list(frame)
+        for _ in range(rng.randrange(9)):
+            own[rng.randrange(len(own))] = f"own{rng.randrange(400)}"
+        own += [f"end{rng.randrange(3)}"] * rng.randrange(4)
+        rows.append((i, ["train", "eval", "test"][i % 3], " ".join(own)))
+    df = spark.createDataFrame([(i, t, p, None, None) for i, p, t in rows], "task_row_id long, problem_statement string, task_partition string, repo_slug string, task_id string")
+    got = {(r.train_row_id, r.held_row_id) for r in O.overlaps(df).collect()}
+
+    texts = {i: t.split() for i, _, t in rows}
+    want = {(i, j) for i, p, _ in rows if p == "train" for j, q, _ in rows if q != "train" and distance(texts[i], texts[j]) <= int(O.TOLERANCE * max(len(texts[i]), len(texts[j])))}
+    assert got == want and len(want) > 20
