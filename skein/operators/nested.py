@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.session import spread
+
 #: Keys whose strings are what somebody or some program wrote, so never structure; arrays and objects stored under them as such are.
 FREE_TEXT = frozenset({"stdout", "stderr", "text", "thinking", "content", "message", "command", "patch", "old", "new", "query", "code", "prompt"})
 
@@ -248,7 +250,8 @@ def nested_nodes(df: DataFrame, columns: list[str], key: str = "record_id") -> D
     and other columns of ``df`` are ignored. Rows with the same key but other
     content are kept apart only by their paths, each of which comes once.
     """
-    kinds = irregular_keys(df, columns)
+    rows = spread(df.select(key, *columns), key)
+    kinds = irregular_keys(rows, columns)
     field = next(f for f in df.schema.fields if f.name == key)
     names = [key, "column_name", "node_path", "parent_path", "table_name", "position", "depth", "attrs"]
     schema = f"{key} {field.dataType.simpleString()}, column_name string, node_path string, parent_path string, table_name string, position int, depth int, attrs string"
@@ -261,7 +264,7 @@ def nested_nodes(df: DataFrame, columns: list[str], key: str = "record_id") -> D
                     yield pa.record_batch(list(arrays), names)
 
     # a repeated row gives the same nodes again; only nodes are shuffled, never the JSON
-    return df.select(key, *columns).mapInArrow(expand, schema).dropDuplicates([key, "column_name", "node_path"])
+    return rows.mapInArrow(expand, schema).dropDuplicates([key, "column_name", "node_path"])
 
 
 def node_table(nodes: DataFrame, table_name: str, fields: dict[str, str]) -> DataFrame:

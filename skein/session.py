@@ -89,6 +89,18 @@ def drop_cuts(spark: SparkSession) -> None:
 _TABLES: dict[int, list[str]] = {}
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` for work in Python: dealt by ``key`` to all cores where its files make fewer tasks than there are cores.
+
+    A file of one row group is one task however large it is. Input of enough
+    parts, and what a shuffle has dealt already, stays where it is.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
