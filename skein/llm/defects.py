@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.minhash import SHINGLE, clusters
-from skein.session import cut
+from skein.session import cut, spread
 
 #: Share of the response that stands in the prompt, and of the prompt that the response holds, for a copy.
 COPIED, COVERED = 0.75, 0.5
@@ -251,7 +251,7 @@ def pairs(df: DataFrame) -> DataFrame:
             words = [number(" ".join(_TOKEN.findall(p.lower())) if p else "") for p in prompts]
             yield pa.record_batch([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], pa.bool_()), pa.array(words, pa.int64()), told], ["rollout_row_id", "defect", "code", "own", "prompt", "sentences"])
 
-    return df.select("rollout_row_id", "prompt", "assistant_response").mapInArrow(run, "rollout_row_id long, defect string, code boolean, own boolean, prompt long, sentences array<struct<digest:long,shape:string,declines:boolean>>")
+    return spread(df.select("rollout_row_id", "prompt", "assistant_response"), "rollout_row_id").mapInArrow(run, "rollout_row_id long, defect string, code boolean, own boolean, prompt long, sentences array<struct<digest:long,shape:string,declines:boolean>>")
 
 
 def sentence_clusters(judged: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.session import cut
+from skein.session import cut, spread
 
 SEED, PASSAGE, EDITS, SHARD_WORDS, BLOCK_CHARS = 7, 30, 3, 1_500_000, 20_000_000
 #: Hits extended at once; a seed that everything shares is worked off in slices of so many.
@@ -203,7 +203,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = items.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS) or 1
-    docs = docs.where("text IS NOT NULL").select("doc_id", "text")
+    docs = spread(docs.where("text IS NOT NULL").select("doc_id", "text"), "doc_id")
     out = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.running import running_total
-from skein.session import cut
+from skein.session import cut, spread
 
 #: Tokens in a scheduled block. The schedule has a small row per block and is made on the driver, so a corpus of many terabytes takes larger blocks.
 BLOCK_TOKENS = 16_384
@@ -49,7 +49,7 @@ def token_counts(df: DataFrame, vocabulary: str) -> DataFrame:
 
     source = F.lower(F.regexp_replace("source", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
     rows = df.where("text IS NOT NULL AND source IS NOT NULL").select("doc_id", source.alias("source"), "text")
-    return rows.mapInPandas(count, "doc_id long, source string, tokens long")
+    return spread(rows, "doc_id").mapInPandas(count, "doc_id long, source string, tokens long")
 
 
 def schedule(weights: dict[str, float], slots: int) -> list[tuple[str, int, int]]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.leaks import words
 from skein.llm.splits import partition_name, repository, repository_of_task
-from skein.session import cut
+from skein.session import cut, spread
 
 #: Edits per word of the longer statement: between one in eight (a pair) and one in five (none).
 TOLERANCE = 0.16
@@ -47,7 +47,7 @@ def _canonical(df: DataFrame) -> DataFrame:
 
     rows = df.select("task_row_id", partition_name(F.col("task_partition")).alias("part"), "problem_statement")
     rows = rows.where("part IS NOT NULL AND problem_statement IS NOT NULL")
-    return rows.mapInArrow(run, "task_row_id long, part string, digest string, n int, sketch array<int>, sign string").where("n > 0")
+    return spread(rows, "task_row_id").mapInArrow(run, "task_row_id long, part string, digest string, n int, sketch array<int>, sign string").where("n > 0")
 
 
 def _rarity(texts: DataFrame) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.session import cut, cut_counted
+from skein.session import cut, cut_counted, spread
 
 #: A tail is whole if at least this share of the corpus' copies stop there too.
 STOPS = 0.1
@@ -368,7 +368,7 @@ def _scan(df: DataFrame, vocabulary: str) -> DataFrame:
         yield from _prefixes(scan)
 
     texts = df.where(F.length(F.trim("text")) > 0).select("doc_id", "source", "text", F.xxhash64("text").alias("digest"))
-    return texts.mapInArrow(run, _SCHEMA)
+    return spread(texts, "doc_id").mapInArrow(run, _SCHEMA)
 
 
 def _batch(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
