@@ -103,3 +103,57 @@ def test_times_order_what_turns_leave_open(spark):
     rows = [row(1, "a", 0, 0, "user", "q", 5), row(2, "a", 0, 0, "assistant", "r", 9), row(3, "a", 0, 0, "system", "late", 4), row(4, "a", 0, 0, "system", "early", 1)]
     got = C.rebuild_conversations(spark.createDataFrame(rows, SCHEMA)).first()
     assert [m.text for m in got.messages] == ["early", "late", "q", "r"]
+
+
+def merged(spark, rows):
+    once = C.distinct_messages(C.tidy_messages(spark.createDataFrame(rows, SCHEMA)))
+    return C.merge_messages(once, C.conversation_clocks(C.clock_offsets(C.reply_constraints(once))))
+
+
+def test_broken_conversations_come_from_the_corrected_order(spark):
+    """A tool clock an hour slow: in turn 2 the user spoke first, though the tool's time is the earlier one."""
+    rows = [
+        row(1, "a", 0, 0, "user", "q0", 0), row(2, "a", 0, 0, "assistant", "r0", 20),
+        row(3, "a", 0, 1, "tool", "o1", 40 - 3600), row(4, "a", 0, 1, "assistant", "r1", 60),
+        row(5, "a", 0, 2, "tool", "o2", 80 - 3600), row(6, "a", 0, 2, "user", "q2", 70), row(7, "a", 0, 2, "assistant", "r2", 100),
+        row(8, "b", 0, 0, "user", "q0", 0), row(9, "b", 0, 0, "assistant", "r0", 20), row(10, "b", 0, 1, "user", " ", 30), row(11, "b", 0, 1, "tool", "", 31),
+    ]
+    order = sorted(merged(spark, rows).where("task_id = 'a'").collect(), key=lambda r: r.place)
+    assert [(r.turn_index, r.role, r.met) for r in order] == [
+        (0, "user", True), (0, "assistant", True), (1, "tool", True), (1, "assistant", True), (2, "user", True), (2, "tool", False), (2, "assistant", True)
+    ]
+    assert found(spark, rows) == {("a", 0), ("b", 0)}
+    # the rows come by the corrected times, not by counts beside them
+    plan = C.broken_conversations(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collected_at" in plan and "moved" in plan
+
+
+def test_merged_order_against_the_rule(spark):
+    """Random turns, ends, blanks and clocks, some times at the ends of what a timestamp holds."""
+    random.seed(11)
+    rows, want = [], set()
+    for c in range(300):
+        turns = {}
+        for turn in random.choice([[0], [0, 1], [0, 1, 2], [1], [0, 2], [-1, 0], [0, None], [0, 2**31 - 1], []]):
+            ends = turns[turn] = ([], [])
+            for side, speakers in enumerate((("user", "tool"), ("assistant",))):
+                for k in range(random.choice([1] * 12 + [0, 2])):
+                    speaker, text = random.choice(speakers), random.choice([f"t{k}"] * 9 + [" "])
+                    rows += [row(len(rows), "r", c, turn, speaker, text, random.choice([0, 5, -3600, 3600, 2 * 10**11, -6 * 10**10]))] * random.choice([1, 1, 2])
+                    ends[side].append((speaker, text.strip()))
+        rows.append(row(len(rows), "r", c, random.choice([0, None]), "sys", "s"))
+        turns = {t: e for t, e in turns.items() if e[0] or e[1]}
+        filled = all(len({e for e in side if e[1]}) == 1 for ends in turns.values() for side in ends)
+        if not turns or not filled or set(turns) != set(range(len(turns))):
+            want.add(("r", c))
+    assert 0 < len(want) < 300 and found(spark, rows) == want
+
+
+def test_times_at_the_ends_of_their_range(spark):
+    from pyspark.sql import functions as F
+
+    rows = [row(1, "a", 0, 0, "user", "q", 0), row(2, "a", 0, 0, "assistant", "r", 1), row(3, "a", 0, 1, "tool", "o", 0), row(4, "a", 0, 1, "assistant", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("collected_at", F.when(F.col("message_id") % 2 == 1, F.timestamp_micros(F.lit(-(2**63)))).otherwise(F.timestamp_micros(F.lit(2**63 - 1))))
+    assert C.broken_conversations(df).count() == 0
+    bare = df.withColumn("collected_at", F.lit(None).cast("timestamp"))
+    assert C.broken_conversations(bare).count() == 0 and C.rebuild_conversations(bare).count() == 1
